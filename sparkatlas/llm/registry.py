@@ -1,12 +1,15 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from sparkatlas.llm import bpe, decontaminate, language_id, secrets, token_counts
+from sparkatlas.llm import bpe, decontaminate, language_id, line_dedup, lm_scoring, secrets, token_counts, topk
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
+    "op3_exact_topk": topk.query,
     "op4_byte_bpe": bpe.query,
+    "op5_line_dedup": line_dedup.query,
     "op6_secret_scan": secrets.query,
+    "op8_lm_scoring": lm_scoring.query,
     "op9_decontaminate": decontaminate.query,
     "op10_language_id": language_id.query,
 }
-SQL = {"op9_decontaminate": decontaminate.SQL}
+SQL = {"op3_exact_topk": topk.SQL, "op5_line_dedup": line_dedup.SQL, "op9_decontaminate": decontaminate.SQL}
