@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkatlas.llm import bpe, decontaminate, language_id, storage
+from sparkatlas.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, storage
 
 STAGES = [
     ("language_id", language_id.stage),
+    ("line_dedup", line_dedup.stage),
+    ("ngram_jaccard", jaccard_join.stage),
     ("decontaminate", decontaminate.stage),
     ("byte_bpe", bpe.stage),
 ]
