@@ -9,7 +9,7 @@ Sets of word n-grams are compared; sets that are equal are one class and go on o
 2. Pivot rounds. In each region the smallest class is the pivot document. Every set whose component isn't the pivot's
    measures its exact distance to the pivot with which it shares most regions; those within reach link, and components grow.
 3. Small regions (SMALL classes at most) are leaves: their pairs of different components are measured, unless they share
-   too few regions to reach the overlap of a link, or both distances to a common pivot document are known and differ by
+   too few regions to reach the overlap of a link (found beforehand; such sets are never built), or both distances to a common pivot document are known and differ by
    more than the reach (triangle inequality).
 4. Larger regions are joined into clusters and partitioned again: by the distance to the cluster's pivot document into
    rings as wide as the reach, so that links are within a ring or between neighbours, and rings into blocks of CELL
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from sparkatlas.llm import storage
 from sparkatlas.llm import words as W
-from sparkatlas.llm.bloom import bloom
 from sparkatlas.llm.components import components
 
 #: Rounds with pivot documents before the leaves.
@@ -82,63 +81,60 @@ def lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def surveyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, row (a hash of it), n, c and keys (the boundary window by hash order) for each row of doc_id, text."""
+def surveyed(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, row (a hash of it), n and c for each row of doc_id, text; a written table."""
 
     def run(batches):
         for batch in batches:
             size, c = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            keys = [np.zeros(0, W.U)] * batch.num_rows
             for part in W.parts(batch.column(2), lower=True):
                 for k, grams in shingle_sets(part, n):
-                    k += part.row
-                    size[k], c[k], keys[k] = len(grams), class_of(grams), window(grams, percent)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(c), lists(keys)], ["doc_id", "row", "n", "c", "keys"])
+                    size[part.row + k], c[part.row + k] = len(grams), class_of(grams)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(c)], ["doc_id", "row", "n", "c"])
 
     rows = docs.select("doc_id", F.xxhash64("doc_id").alias("row"), "text")
     zero = F.lit(0).cast("long")
-    return storage.written(rows.mapInArrow(run, rows.drop("text").withColumns({"n": zero, "c": zero, "keys": F.array(zero)}).schema), "jaccard-survey")
+    return storage.written(rows.mapInArrow(run, rows.drop("text").withColumns({"n": zero, "c": zero}).schema), "jaccard-survey")
 
 
-def again(docs: DataFrame, rows: DataFrame, n: int, make, shape: str) -> DataFrame:
-    """What make(class, n-grams) gives, once for each class, for the documents whose row hash is in rows (a written table), and for a few others."""
-    sent = docs.sparkSession.sparkContext.broadcast(bloom(rows, "row"))
+class Sets:
+    """The sets of some classes, made again from one document each."""
 
-    def run(batches):
-        for batch in batches:
-            good = sent.value.has(batch.column(0).to_numpy().view(W.U))
-            got = [(class_of(grams), grams) for part in W.parts(batch.column(1).filter(pa.array(good)), lower=True) for _, grams in shingle_sets(part, n)]
-            got = list(dict(got).items())
-            for at in range(0, len(got), 500):
-                some = got[at : at + 500]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int64()), *make([g for _, g in some])], [x.split()[0] for x in shape.split(", ")])
+    def __init__(self, docs: DataFrame, classes: DataFrame, n: int, percent: int):
+        """classes: a written table of c and row."""
+        classes = F.broadcast(classes) if storage.is_small(classes, 32) else classes
+        rows = docs.select(F.xxhash64("doc_id").alias("row"), "text")
+        self.rows = rows.join(classes.select("row", "c"), "row").select("c", "text")
+        self.n, self.percent = n, percent
 
-    return docs.select(F.xxhash64("doc_id").alias("row"), "text").mapInArrow(run, shape).dropDuplicates(["c"])
+    def mapped(self, make, shape: str) -> DataFrame:
+        """c and what make(n-grams of some sets) gives."""
+        n, names = self.n, [x.split()[0] for x in shape.split(", ")]
 
+        def run(batches):
+            for batch in batches:
+                want = batch.column(0).to_numpy()
+                got = [(c, grams) for part in W.parts(batch.column(1), lower=True) for k, grams in shingle_sets(part, n) if (c := class_of(grams)) == want[part.row + k]]
+                for at in range(0, len(got), 500):
+                    some = got[at : at + 500]
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int64()), *make([g for _, g in some])], names)
 
-def crowded(classes: DataFrame) -> np.ndarray:
-    """The n-grams to put last."""
-    counts = classes.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > CROWD)
-    got = counts.orderBy(F.desc("count"), "key").limit(MOST_LAST).select("key").toArrow()
-    return np.sort(got.column(0).to_numpy().view(W.U))
+        return self.rows.mapInArrow(run, shape)
 
+    def windows(self, last: np.ndarray) -> DataFrame:
+        percent, sent = self.percent, self.rows.sparkSession.sparkContext.broadcast(last)
+        make = lambda sets: [pa.array([len(g) for g in sets], pa.int64()), lists([window(g, percent, sent.value) for g in sets])]
+        return storage.written(self.mapped(make, "c long, n long, keys array<long>"), "jaccard-windows")
 
-def reordered(docs: DataFrame, classes: DataFrame, n: int, percent: int, last: np.ndarray) -> DataFrame:
-    """classes, with other windows for those whose window holds n-grams that go last."""
-    sent = docs.sparkSession.sparkContext.broadcast(last)
+    def grams(self) -> DataFrame:
+        return storage.written(self.mapped(lambda sets: [pa.array([g.tobytes() for g in sets], pa.binary())], "c long, grams binary"), "jaccard-sets")
 
-    def hit(batches):
-        for batch in batches:
-            keys = batch.column(1)
-            of = np.repeat(np.arange(batch.num_rows), np.diff(keys.offsets.to_numpy()))
-            bad = np.bincount(of, held(sent.value, keys.flatten().to_numpy().view(W.U)), batch.num_rows) > 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(bad))], ["row"])
 
-    rows = storage.written(classes.select("row", "keys").mapInArrow(hit, "row long"), "jaccard-late")
-    make = lambda sets: [pa.array([len(g) for g in sets], pa.int64()), lists([window(g, percent, sent.value) for g in sets])]
-    new = storage.written(again(docs, rows, n, make, "c long, n long, keys array<long>"), "jaccard-new")
-    out = classes.join(new.select("c"), "c", "left_anti").select("c", "row", "n", "keys").unionByName(classes.select("c", "row").join(new, "c").select("c", "row", "n", "keys"))
-    return storage.written(out, "jaccard-classes")
+def crowded(windows: DataFrame) -> np.ndarray:
+    """The n-grams to put last."""
+    counts = windows.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > CROWD)
+    got = counts.orderBy(F.desc("count"), "key").limit(MOST_LAST).select("key").toArrow()
+    return np.sort(got.column(0).to_numpy().view(W.U))
 
 
 def measured(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -160,7 +156,7 @@ def measured(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["p", "c", "shared", "n", "m"])
 
     rows = wanted.join(sets, "c").select("p", "c", "grams", (F.col("p") != F.col("c")).alias("later"))
-    return rows.repartition("p").sortWithinPartitions("p", "later").select("p", "c", "grams").mapInArrow(compare, "p long, c long, shared long, n long, m long")
+    return rows.repartition("p").sortWithinPartitions("p", "later").select("p", "c", "grams").mapInArrow(compare, "p long, c long, shared long, n long, m long").distinct()
 
 
 def fits(percent: int):
@@ -182,65 +178,74 @@ def labelled(members: DataFrame, own: DataFrame | None) -> DataFrame:
 def links(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b: links of classes whose components are those of all links; a written table."""
     spark = docs.sparkSession
-    classes = survey.where("n > 0").groupBy("c").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = storage.written(classes, "jaccard-classes")
-    last = crowded(classes)
+    classes = storage.written(survey.where("n > 0").groupBy("c").agg(F.min("row").alias("row")), "jaccard-classes")
+    sets = Sets(docs, classes, n, percent)
+    windows = sets.windows(np.zeros(0, W.U))
+    last = crowded(windows)
     if len(last):
-        classes = reordered(docs, classes, n, percent, last)
-    rows = classes.select(F.explode("keys").alias("key"), "c", "n")
-    shared = storage.written(rows.groupBy("key").count().where("count > 1").select("key"), "jaccard-keys")
-    members = storage.written(rows.join(F.broadcast(shared) if storage.is_small(shared, 24) else shared, "key", "left_semi"), "jaccard-members")
-    wanted = storage.written(classes.join(members.select("c").distinct(), "c", "left_semi").select("row"), "jaccard-wanted")
-    sets = again(docs, wanted, n, lambda sets: [pa.array([g.tobytes() for g in sets], pa.binary())], "c long, grams binary")
-    sets = storage.written(sets, "jaccard-sets")
+        storage.dropped(windows)
+        windows = sets.windows(last)
+    rows = windows.select(F.explode("keys").alias("key"), "c", "n")
+    shared = storage.written(rows.groupBy("key").count().where("count > 1").select("key", F.col("count").alias("size")), "jaccard-keys")
+    members = storage.written(rows.join(F.broadcast(shared) if storage.is_small(shared, 32) else shared, "key").distinct(), "jaccard-members")
+    storage.dropped(windows)
+    pairs = storage.written(candidates(members, percent), "jaccard-candidates")
+    near = pairs.select("c").unionByName(pairs.select(F.col("p").alias("c"))).unionByName(members.where(F.col("size") > SMALL).select("c")).distinct()
+    near = storage.written(classes.join(near, "c", "left_semi"), "jaccard-near")
+    members = members.join(F.broadcast(near.select("c")) if storage.is_small(near, 32) else near.select("c"), "c", "left_semi")
+    sets = Sets(docs, near, n, percent).grams()
 
     tested = storage.written(spark.createDataFrame([], "p long, c long, shared long, n long, m long"), "jaccard-tested")
     own = None
     for _ in range(ROUNDS):
         rows = labelled(members, own)
         pivot = rows.groupBy("key").agg(F.min(F.struct("c", "n", "component")).alias("x")).select("key", F.col("x.c").alias("p"), F.col("x.n").alias("m"), F.col("x.component").alias("at"))
-        pairs = rows.join(pivot, "key").where((F.col("component") != F.col("at")) & fits(percent)).groupBy("p", "c").count()
-        pairs = pairs.join(tested.select("p", "c"), ["p", "c"], "left_anti").groupBy("c").agg(F.max_by("p", F.struct("count", "p")).alias("p"))
-        pairs = storage.written(pairs.select("p", "c"), "jaccard-pairs")
-        if pairs.isEmpty():
+        stars = rows.join(pivot, "key").where((F.col("component") != F.col("at")) & fits(percent)).groupBy("p", "c").count()
+        stars = stars.join(tested.select("p", "c"), ["p", "c"], "left_anti").groupBy("c").agg(F.max_by("p", F.struct("count", "p")).alias("p"))
+        stars = storage.written(stars.select("p", "c"), "jaccard-stars")
+        if stars.isEmpty():
             break
-        tested = storage.written(tested.unionByName(measured(sets, pairs)), "jaccard-tested")
+        tested = storage.written(tested.unionByName(measured(sets, stars)), "jaccard-tested")
         own = components(linked(tested, percent))
 
-    rows = labelled(members, own)
-    mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("c").alias("least")).where("x <> y").select("key", "size", "least")
-    mixed = storage.written(mixed, "jaccard-mixed")
-    few = rows.join(mixed.where(F.col("size") <= SMALL), "key", "left_semi").repartition("key").sortWithinPartitions("key")
-    leaves = few.select("key", "c", "n", "component").mapInArrow(cross_pairs(percent), "p long, c long, n long, m long, k long")
-    leaves = leaves.groupBy("p", "c").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("k").alias("k"))
-    large = storage.written(rows.join(mixed.where(F.col("size") > SMALL), "key", "left_semi").groupBy("c").agg(F.count("*").alias("large")), "jaccard-large")
-    large = F.broadcast(large) if storage.is_small(large, 32) else large
-    leaves = leaves.join(large, "c", "left").join(large.select(F.col("c").alias("p"), F.col("large").alias("large_p")), "p", "left")
-    # of the set whose window ends first, all n-grams in common that its window holds are keys of both
-    most = F.col("k") + F.least(F.coalesce("large", F.lit(0)), F.coalesce("large_p", F.lit(0))) + F.ceil(percent * F.greatest("n", "m") / 100) - 1
-    leaves = leaves.where((100 + percent) * most >= percent * (F.col("n") + F.col("m"))).select("p", "c")
+    leaves = labelled(labelled(pairs, own).select("p", F.col("c").alias("_c"), F.col("component").alias("_at")).withColumnRenamed("p", "c"), own)
+    leaves = leaves.where("component <> _at").select(F.col("c").alias("p"), F.col("_c").alias("c"))
     leaves = storage.written(pruned(leaves, tested, percent), "jaccard-leaves")
     if not leaves.isEmpty():
         tested = storage.written(tested.unionByName(measured(sets, leaves)), "jaccard-tested")
         own = components(linked(tested, percent))
     out = linked(tested, percent)
-    many = mixed.where(F.col("size") > SMALL)
+    rows = labelled(members.where(F.col("size") > SMALL), own)
+    mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("c").alias("least")).where("x <> y").select("key", "least")
+    many = storage.written(rows.join(mixed, "key").select("c", "n", "component", "least").distinct(), "jaccard-many")
     if not many.isEmpty():
-        many = labelled(members, own).join(many, "key").select("c", "n", "component", "least")
-        out = out.unionByName(cells(sets, storage.written(many.distinct(), "jaccard-many"), tested, percent))
+        out = out.unionByName(cells(sets, many, tested, percent))
     return storage.written(out, "jaccard-links")
 
 
-def cross_pairs(percent: int):
-    """Pairs of different components within each small region, sizes permitting, with their sizes and how many regions they share, from rows sorted by key."""
+def candidates(members: DataFrame, percent: int) -> DataFrame:
+    """p, c: pairs within a small region that share regions enough for a link."""
+    few = members.where(F.col("size") <= SMALL).select("key", "c", "n").repartition("key").sortWithinPartitions("key")
+    pairs = few.mapInArrow(region_pairs(percent), "p long, c long, n long, m long, k long")
+    pairs = pairs.groupBy("p", "c").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("k").alias("k"))
+    large = storage.written(members.where(F.col("size") > SMALL).groupBy("c").agg(F.count("*").alias("large")), "jaccard-large")
+    large = F.broadcast(large) if storage.is_small(large, 32) else large
+    pairs = pairs.join(large, "c", "left").join(large.select(F.col("c").alias("p"), F.col("large").alias("large_p")), "p", "left")
+    # of the set whose window ends first, all n-grams in common that its window holds are keys of both
+    most = F.col("k") + F.least(F.coalesce("large", F.lit(0)), F.coalesce("large_p", F.lit(0))) + F.ceil(percent * F.greatest("n", "m") / 100) - 1
+    return pairs.where((100 + percent) * most >= percent * (F.col("n") + F.col("m"))).select("p", "c")
+
+
+def region_pairs(percent: int):
+    """Pairs within each small region, sizes permitting, with their sizes and how many regions they share, from rows sorted by key."""
 
     def run(batches):
         key, rows, shared, size = None, [], {}, {}
 
         def pairs():
-            for i, (c, n, at) in enumerate(rows):
-                for d, m, to in rows[i + 1 :]:
-                    if at != to and 100 * min(n, m) >= percent * max(n, m):
+            for i, (c, n) in enumerate(rows):
+                for d, m in rows[i + 1 :]:
+                    if 100 * min(n, m) >= percent * max(n, m):
                         pair = (c, d) if c < d else (d, c)
                         shared[pair] = shared.get(pair, 0) + 1
                         size[c], size[d] = n, m
@@ -256,7 +261,7 @@ def cross_pairs(percent: int):
                 if k != key:
                     pairs()
                     key, rows = k, []
-                    if len(shared) > 500_000:
+                    if len(shared) > 300_000:
                         yield flushed()
                 rows.append(row)
         pairs()
@@ -369,7 +374,7 @@ def in_cell(rows: list, key: list | None, percent: int):
 def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id that links lead to, for every row of docs."""
     docs = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
-    survey = surveyed(docs, n, percent)
+    survey = surveyed(docs, n)
     own = components(links(docs, survey, n, percent))
     small = storage.is_small(own, 32)
     every = survey.select("doc_id", "n", "c").join(F.broadcast(own) if small else own, F.col("c") == F.col("node"), "left").drop("node")
