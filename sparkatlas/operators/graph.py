@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkatlas.functions import text as T
+from sparkatlas.plans.tables import written
 
 
 def resolve(raw: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def dependents(edges: DataFrame, symbols: DataFrame, filepath: str, limit: int =
 def hierarchy(edges: DataFrame, seed, direction: str = "both", depth: int = 5) -> DataFrame:
     """id and least depth of what child -> parent edges (child, parent) reach from one id, level by level.
 
-    Each level joins only what is new, so that paths don't multiply.
+    Each level joins only what is new, so that paths don't multiply, and is written, so that plans don't either.
     """
     up = edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
     down = edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
@@ -51,7 +52,9 @@ def hierarchy(edges: DataFrame, seed, direction: str = "both", depth: int = 5) -
     front = seen
     for level in range(1, depth + 1):
         new = steps.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        front = new.join(seen, "id", "left_anti").withColumn("depth", F.lit(level))
+        front = written(new.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)), "hierarchy")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
