@@ -83,22 +83,45 @@ class Best:
         self.norm = np.sqrt((self.real**2).sum(1))
         self.most = float(np.abs(self.real).max(initial=0.0))
         self.kth = np.full(len(ids), -np.inf) if least is None else least.astype(np.float64)
-        self.q, self.score, self.vec = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: of each query: how many it has, and their scores and ids, the best first
+        self.n = np.zeros(len(ids), np.int64)
+        self.scores, self.vecs = np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int64)
         self.new: list[tuple] = []
         self.waiting = 0
 
     def settle(self) -> None:
-        if not self.new:
+        """Merge what is new into the best; only the queries that have something new are looked at."""
+        if not self.waiting:
+            self.new = []
             return
-        q, score, vec = (np.concatenate(x) for x in zip((self.q, self.score, self.vec), *self.new, strict=True))
+        q, score, vec = (np.concatenate(x) for x in zip(*self.new, strict=True))
         self.new, self.waiting = [], 0
+        touched = np.unique(q)
+        had = np.arange(self.k) < self.n[touched][:, None]
+        q = np.concatenate([np.repeat(touched, self.n[touched]), q])
+        score, vec = np.concatenate([self.scores[touched][had], score]), np.concatenate([self.vecs[touched][had], vec])
         order = np.lexsort((vec, -score, q))
         q, score, vec = q[order], score[order], vec[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         keep = rank < self.k
-        last = rank == self.k - 1
-        self.kth[q[last]] = np.maximum(self.kth[q[last]], score[last])
-        self.q, self.score, self.vec = q[keep], score[keep], vec[keep]
+        q, rank = q[keep], rank[keep]
+        self.scores[q, rank], self.vecs[q, rank] = score[keep], vec[keep]
+        self.n[touched] = np.bincount(np.searchsorted(touched, q), minlength=len(touched))
+        full = touched[self.n[touched] == self.k]
+        self.kth[full] = np.maximum(self.kth[full], self.scores[full, self.k - 1])
+
+    @property
+    def q(self) -> np.ndarray:
+        """The query's number, for each of all best."""
+        return np.repeat(np.arange(len(self.n)), self.n)
+
+    @property
+    def score(self) -> np.ndarray:
+        return self.scores[np.arange(self.k) < self.n[:, None]]
+
+    @property
+    def vec(self) -> np.ndarray:
+        return self.vecs[np.arange(self.k) < self.n[:, None]]
 
     def search(self, tree: BallTree) -> None:
         d = max(self.queries.shape[1], tree.vectors.shape[1])
@@ -192,9 +215,10 @@ def search(vectors: DataFrame, wanted, k: int = K, ident: str = "vec_id", vector
             for batch in batches:
                 for tree in batch.column(0):
                     best.search(pickle.loads(tree.as_py()))
-            for at in range(0, len(best.q), 10_000):
+            q, vec, score = best.q, best.vec, best.score
+            for at in range(0, len(q), 10_000):
                 own = slice(at, at + 10_000)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[best.q[own]]), pa.array(best.vec[own]), pa.array(best.score[own])], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[own]]), pa.array(vec[own]), pa.array(score[own])], ["query_id", "vec_id", "score"])
 
         own = index.select("tree").mapInArrow(run, "query_id long, vec_id long, score long")
         found = own if found is None else found.unionByName(own)
