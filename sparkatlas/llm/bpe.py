@@ -14,19 +14,22 @@ import base64
 import hashlib
 import heapq
 from array import array
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pre-tokens that the cache of a Python worker holds at most.
-CACHE = 1 << 19
+CACHE = 1 << 17
 #: Longer pre-tokens aren't kept in it.
 CACHED_CHARS = 64
+#: Bytes of text, about, whose results are held at once; a longer text is held alone.
+SLICE = 1 << 20
 
 
 class PerfectHash:
@@ -154,7 +157,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
 
     def run(batches):
         encoder = Encoder(sent.value, pattern)
-        for batch in batches:
+        for batch in chain.from_iterable(map(sliced, batches)):
             count, one, two, every = [], [], [], []
             for x in batch.column(place).cast(pa.binary()):
                 ids = encoder.encode((x.as_py() or b"").decode("utf-8", "replace"))
@@ -162,14 +165,27 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
                 one.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
                 two.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
                 if keep_ids:
-                    every.append(ids.tolist())
+                    every.append(ids)
             cols = [batch.column(i) for i in range(batch.num_columns)]
-            more = [pa.array(every, pa.list_(pa.int64()))] if keep_ids else []
+            more = [listed(every)] if keep_ids else []
             yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string()), *more], names)
 
+    def sliced(batch):
+        lens = pc.binary_length(batch.column(place)).fill_null(0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(lens, dtype=np.int64) // SLICE)) + 1
+        for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
     return docs.mapInArrow(run, docs.withColumns(kinds).schema)
 
 
+def listed(every: list[array]) -> pa.Array:
+    """The ids of some texts as one Arrow column, without a Python object for each."""
+    offsets = np.cumsum([0, *map(len, every)], dtype=np.int32)
+    flat = np.concatenate([np.zeros(0, np.uint32), *(np.array(x, np.uint32) for x in every)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64)))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return encode(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
