@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pre-tokens that the cache of a Python worker holds at most.
-CACHE = 1 << 17
+CACHE = 1 << 19
+#: The same in the pipeline, where other stages have left less memory.
+STAGE_CACHE = 1 << 17
 #: Longer pre-tokens aren't kept in it.
 CACHED_CHARS = 64
 #: Bytes of text, about, whose results are held at once; a longer text is held alone.
@@ -106,8 +108,9 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder(dict):
     """From pre-token to ids; what isn't there is worked out, and kept while there is room."""
 
-    def __init__(self, vocabulary: tuple[list[bytes], list[int], PerfectHash], pattern: str):
+    def __init__(self, vocabulary: tuple[list[bytes], list[int], PerfectHash], pattern: str, cache: int = CACHE):
         super().__init__()
+        self.room = cache
         tokens, ids, self.whole = vocabulary
         self.ids = ids
         self.ranks = dict(zip(tokens, ids, strict=True))
@@ -119,7 +122,7 @@ class Encoder(dict):
         k = self.whole.get(raw)
         out = (self.ids[k],) if k is not None else tuple(merged(raw, self.ranks))
         if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHE:
+            if len(self) >= self.room:
                 self.clear()
             self[word] = out
         return out
@@ -145,7 +148,7 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """docs with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
     known = default_vocabulary()
     path, pattern = path or known[0], pattern or known[1]
@@ -156,7 +159,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
     kinds = {"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit("x"), "decoded_sha256": F.lit("x")} | ({"ids": F.array(F.lit(0).cast("long"))} if keep_ids else {})
 
     def run(batches):
-        encoder = Encoder(sent.value, pattern)
+        encoder = Encoder(sent.value, pattern, cache)
         for batch in chain.from_iterable(map(sliced, batches)):
             count, one, two, every = [], [], [], []
             for x in batch.column(place).cast(pa.binary()):
@@ -193,4 +196,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: each document's text and ids."""
-    return encode(docs, keep_ids=True)
+    return encode(docs, keep_ids=True, cache=STAGE_CACHE)
