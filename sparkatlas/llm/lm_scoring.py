@@ -2,9 +2,10 @@
 
 Counts of all training words, and of all pairs of frequent words (FREQUENT of the tokens or more each, so at most
 1 / FREQUENT words), are summed over the corpus. A count c has level 1 + floor(2 log2 c); its n-gram enters the filter
-once for each level up to its own. The filter has CHUNKS chunks, filled by one task each, and at most MOST_BITS bits;
-where the n-grams would need more, those of the lowest counts stay out (the cut-off is found from the histogram of all
-counts), and are scored as unseen by the model. A level is read back by probing 1, 2, ... until a probe fails.
+once for each level up to its own. The filter is a table of chunks that grows with the n-grams, by their hash: each chunk
+has BITS_PER_ENTRY bits for each of its entries, and the chunks are as many as the tokens ask for. It is never gathered:
+texts are scored in groups, whose distinct n-grams are dealt out to the chunks and come back as levels. A level is read
+back by probing 1, 2, ... until a probe fails.
 
 P(word | before) = P(word), or for two frequent words (1 - PAIRS) P(word) + PAIRS count(before word) / count(before);
 P(word) = (count + ADD) / (N + ADD (V + 1)).
@@ -20,7 +21,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkatlas.llm import storage
@@ -30,8 +32,12 @@ ADD = 0.1
 FREQUENT = 1 / 2000
 PAIRS = 0.1
 HEAD = 1 << 20
-MOST_BITS = 1 << 28
-CHUNKS = 64
+#: The fewest chunks of the filter, and the occurrences of n-grams that a chunk has at most, about.
+CHUNKS, OCCURRENCES = 64, 1 << 22
+#: Bytes of text whose distinct n-grams are counted, and looked up, together; a longer text is a group of its own.
+GROUP = 4 * W.SLICE
+#: Spark's setting by which shuffle files go when the query that made them is done.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BITS_PER_ENTRY = 12
 PROBES = 6
 #: The hash of the end token: words of one or more bytes have others, but for chance.
@@ -73,11 +79,10 @@ def counted(rows: DataFrame, hashes) -> DataFrame:
     return rows.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def at_most(counts: DataFrame, most: int, weight: Column | None = None) -> int:
-    """The least count such that the rows of this count and more weigh no more than `most`."""
-    weight = F.lit(1) if weight is None else weight
+def at_most(counts: DataFrame, most: int) -> int:
+    """The least count such that the rows of this count and more are no more than `most`."""
     total, cut = 0, 1
-    for c, n in counts.groupBy("c").agg(F.sum(weight)).orderBy(F.desc("c")).toLocalIterator():
+    for c, n in counts.groupBy("c").agg(F.count("*")).orderBy(F.desc("c")).toLocalIterator():
         total += n
         if total > most:
             return c + 1
@@ -92,89 +97,169 @@ def pulled(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
+def dealt(h: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of hashes by chunk, then as they are; the chunks that have some, and where each begins (and the end)."""
+    k = (W.mix(h) % W.U(chunks)).astype(np.int64)
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    return order, k[at], np.append(at, len(k))
+
+
+def blobs(x: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The bytes of x between each two of the places at."""
+    offsets = pa.array(at * x.itemsize, pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(x).view(np.uint8))])
+
+
+def held_in(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+
+
 class Filter:
-    """A log-frequency Bloom filter: chunks of bits; an n-gram's chunk is one for all its levels."""
+    """A chunk of the log-frequency Bloom filter."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits = bits  # uint8, CHUNKS rows
+        self.bits = bits  # uint8
+
+    @classmethod
+    def of(cls, h: np.ndarray, c: np.ndarray) -> Filter:
+        """Of all n-grams of the chunk, whatever their counts."""
+        top = level(c)
+        size = max(1, math.ceil(int(top.sum()) * BITS_PER_ENTRY / 8))
+        bits = np.zeros(size * 8, bool)
+        for q in range(1, int(top.max(initial=0)) + 1):
+            h, top = h[top >= q], top[top >= q]
+            a, b = cls.start(h, q)
+            for j in range(PROBES):
+                bits[cls.place(a, b, j, size * 8)] = True
+        return cls(np.packbits(bits, bitorder="little"))
 
     @staticmethod
-    def places(h: np.ndarray, q: np.ndarray, size: int) -> list[np.ndarray]:
-        x = W.mix(h + q.astype(W.U) * W.U(W.BASE))
-        a, b = x & W.U(0xFFFFFFFF), (x >> W.U(32)) | W.U(1)
-        return [((a + W.U(j) * b) % W.U(size)).astype(np.int64) for j in range(PROBES)]
+    def start(h: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        x = W.mix(h + W.U(q * W.BASE % (1 << 64)))
+        return x & W.U(0xFFFFFFFF), (x >> W.U(32)) | W.U(1)
+
+    @staticmethod
+    def place(a: np.ndarray, b: np.ndarray, j: int, size: int) -> np.ndarray:
+        return ((a + W.U(j) * b) % W.U(size)).astype(np.int64)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), np.int64)
-        chunk = (W.mix(h) & W.U(CHUNKS - 1)).astype(np.int64)
-        left, size = np.arange(len(h)), self.bits.shape[1] * 8
+        out = np.zeros(len(h), np.uint8)
+        left, size = np.arange(len(h)), len(self.bits) * 8
         for q in range(1, LEVELS):
-            good = left
-            x = self.places(h[left], np.full(len(left), q), size)
-            for p in x:
-                hit = (self.bits[chunk[good], p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-                good, x[:] = good[hit], [y[hit] for y in x]
-                if len(good) == 0:
-                    return out
-            out[good] = q
-            left = good
+            a, b = self.start(h[left], q)
+            for j in range(PROBES):
+                p = self.place(a, b, j, size)
+                hit = (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+                left, a, b = left[hit], a[hit], b[hit]
+            if len(left) == 0:
+                break
+            out[left] = q
         return out
 
 
-def filtered(counts: DataFrame) -> Filter:
-    """The filter of counts (h, c), built a chunk to a task."""
-    entries = 1 + F.floor(2 * F.log2("c"))
-    cut = at_most(counts, MOST_BITS // BITS_PER_ENTRY, entries)
-    kept = counts.where(F.col("c") >= cut)
-    need = kept.agg(F.sum(entries)).collect()[0][0] or 0
-    size = max(1, math.ceil(need * BITS_PER_ENTRY / CHUNKS / 8))  # bytes of a chunk
+def filtered(train: DataFrame, n: int, grams) -> tuple[DataFrame, int]:
+    """k and bits: the filter's chunks, of all n-grams that grams(part) gives (a written table); and how many chunks there may be.
 
-    def run(batches):
-        got: dict[int, np.ndarray] = {}
+    They are as many as 2 n occurrences ask for, so that one is counted and filled in bounded memory at any size.
+    """
+    chunks = max(CHUNKS, math.ceil(2 * n / OCCURRENCES))
+
+    def count(batches):
         for batch in batches:
-            h, q = batch.column(0).to_numpy().view(W.U), level(batch.column(1).to_numpy())
-            chunk = batch.column(2).to_numpy()
-            for k in np.unique(chunk):
-                bits = got.setdefault(int(k), np.zeros(size, np.uint8))
-                own, top = h[chunk == k], q[chunk == k]
-                for j in range(1, int(top.max(initial=0)) + 1):
-                    own, top = own[top >= j], top[top >= j]
-                    for p in Filter.places(own, np.full(len(own), j), size * 8):
-                        np.bitwise_or.at(bits, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
-        for k, bits in got.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["k", "bits"])
-
-    def chunk(batches):
+            for part in W.parts(batch.column(0), lower=True, size=GROUP):
+                h, c = np.unique(grams(part), return_counts=True)
+                order, k, at = dealt(h, chunks)
+                cols = [pa.array(k.astype(np.int32)), blobs(h[order], at), blobs(c[order].astype(np.uint32), at)]
+                yield pa.RecordBatch.from_arrays(cols, ["k", "h", "c"])
+
+    def build(table):
+        h, of = np.unique(np.concatenate(held_in(table.column("h"), W.U)), return_inverse=True)
+        c = np.bincount(of, np.concatenate(held_in(table.column("c"), np.uint32))).astype(np.int64)
+        return pa.table({"k": table.column("k")[:1], "bits": pa.array([Filter.of(h, c).bits.tobytes()], pa.binary())})
+
+    rows = train.mapInArrow(count, "k int, h binary, c binary")
+    return freed(rows.groupBy("k").applyInArrow(build, "k int, bits binary"), "lm-filter"), chunks
+
+
+def freed(df: DataFrame, name: str) -> DataFrame:
+    """storage.written, after which what was shuffled for it is deleted."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        return storage.written(df, name)
+    finally:
+        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
+
+
+def asked(docs: DataFrame, text: str, chunks: int, grams) -> DataFrame:
+    """docs in groups _g, and, in rows of their own, the distinct n-grams of each group by chunk _k (a written table)."""
+    place, names = docs.columns.index(text), [*docs.columns, "_g", "_k", "_h"]
+    kinds = {"_g": F.lit(None).cast("long"), "_k": F.lit(None).cast("int"), "_h": F.lit(None).cast("binary")}
+    plain = docs.select(*(F.when(F.lit(True), F.col(f"`{c}`")).alias(c) for c in docs.columns))  # nullable
+
+    def run(batches):
+        made = 0
         for batch in batches:
-            h = batch.column(0).to_numpy().view(W.U)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((W.mix(h) & W.U(CHUNKS - 1)).astype(np.int32))], ["h", "c", "k"])
+            for part in W.parts(batch.column(place), lower=True, size=GROUP):
+                g = (TaskContext.get().partitionId() << 33) + made
+                made += 1
+                own = batch.slice(part.row, part.n)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(part.n, g)), pa.nulls(part.n, pa.int32()), pa.nulls(part.n, pa.binary())], names)
+                h = np.unique(grams(part))
+                order, k, at = dealt(h, chunks)
+                none = [pa.nulls(len(k), f.type) for f in own.schema]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(np.full(len(k), g)), pa.array(k.astype(np.int32)), blobs(h[order], at)], names)
 
-    rows = kept.select("h", "c").mapInArrow(chunk, "h long, c long, k int").repartition(CHUNKS, "k").mapInArrow(run, "k int, bits binary").collect()
-    bits = np.zeros((CHUNKS, size), np.uint8)
-    for r in rows:
-        bits[r["k"]] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(bits)
+    return storage.written(plain.mapInArrow(run, plain.withColumns(kinds).schema), "lm-asked")
+
+
+def looked_up(rows: DataFrame, model: dict) -> DataFrame:
+    """_g, _k and _q: the levels of the n-grams of asked(), in their order (a written table).
+
+    A chunk is met by the n-grams of all groups, or, where these are many for the number of chunks, of some at a time.
+    """
+    groups = rows.select("_g").distinct().count()
+    salts = max(1, math.ceil(groups * (GROUP // 4) / model["chunks"] / OCCURRENCES))
+
+    def probe(asks, filters):
+        h = held_in(asks.column("_h"), W.U)
+        at = np.cumsum([0, *map(len, h)])
+        bits = held_in(filters.column("bits"), np.uint8)
+        q = Filter(bits[0]).levels(np.concatenate(h)) if bits and h else np.zeros(int(at[-1]), np.uint8)
+        return pa.table({"_g": asks.column("_g"), "_k": asks.column("_k"), "_q": blobs(q, at)})
+
+    asks = rows.where(F.col("_k").isNotNull()).select("_g", "_k", "_h", F.pmod("_g", F.lit(salts)).cast("int").alias("_s"))
+    filters = model["filter"].select(F.col("k").alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"), "bits")
+    got = asks.groupBy("_k", "_s").cogroup(filters.groupBy("_k", "_s")).applyInArrow(probe, "_g long, _k int, _q binary")
+    return freed(got, "lm-levels")
 
 
 def fit(train: DataFrame, text: str = "text") -> dict:
-    """Counts of all texts of train (a written table), totals, and what is broadcast."""
+    """Counts of all texts of train (a written table), totals, what is broadcast, and the filter (a written table of chunks)."""
     train = train.select(text)
-    counts = storage.written(counted(train, lambda part: tokens(part)[0]), "lm-counts")
+    counts = freed(counted(train, lambda part: tokens(part)[0]), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).collect()[0]
     cut = at_most(counts, HEAD)
     head = pulled(counts.where(F.col("c") >= cut))
     frequent = np.sort(head[0][head[1] >= max(2, FREQUENT * n)]) if n else np.zeros(0, W.U)
     sent = train.sparkSession.sparkContext.broadcast(frequent)
+    table, chunks = filtered(train, int(n), lambda part: grams(part, sent.value))
+    return {"n": int(n), "v": int(v), "head": head, "cut": cut, "counts": counts, "frequent": frequent, "filter": table, "chunks": chunks}
 
-    def pairs(part):
-        h, doc = tokens(part)
-        known = held(sent.value, h)
-        both = known[1:] & known[:-1] & (doc[1:] == doc[:-1])
-        return pair_hash(h[:-1][both], h[1:][both])
 
-    both = storage.written(counted(train, pairs), "lm-pairs")
-    grams = Filter(np.zeros((CHUNKS, 1), np.uint8)) if not n else filtered(counts.unionByName(both))
-    return {"n": int(n), "v": int(v), "head": head, "cut": cut, "counts": counts, "frequent": frequent, "filter": grams}
+def pairs(h: np.ndarray, doc: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The places of the second words of the pairs that have counts of their own."""
+    known = held(frequent, h)
+    return np.flatnonzero(known[1:] & known[:-1] & (doc[1:] == doc[:-1])) + 1
+
+
+def grams(part: W.Part, frequent: np.ndarray) -> np.ndarray:
+    h, doc = tokens(part)
+    both = pairs(h, doc, frequent)
+    return np.concatenate([h, pair_hash(h[both - 1], h[both])])
 
 
 def held(among: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -186,60 +271,57 @@ def held(among: np.ndarray, x: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score (log10 of the model's probability of the text)."""
     spark = docs.sparkSession
-    n, v = model["n"], model["v"]
+    n, v, chunks = model["n"], model["v"], model["chunks"]
     under = n + ADD * (v + 1)
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     docs = docs.drop(*added)
-    sent = spark.sparkContext.broadcast({k: model[k] for k in ("head", "frequent", "filter")})
-    place = docs.columns.index(text)
+    sent = spark.sparkContext.broadcast({k: model[k] for k in ("head", "frequent")})
     names = [c for c in docs.columns if c != text]
+    rows = asked(docs, text, chunks, lambda part: grams(part, sent.value["frequent"]))
 
-    def run(batches):
+    def run(own, levels):
         m = sent.value
         known, often = m["head"]
-        for batch in batches:
-            rows = batch.num_rows
-            count, seen, base, own = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
-            rest_doc, rest_h, rest_n = [], [], []
-            for part in W.parts(batch.column(place), lower=True, size=4 * W.SLICE):
-                h, doc = tokens(part)
-                one, back = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(known, one), max(len(known) - 1, 0))
-                is_head = held(known, one)
-                c = np.where(is_head, often[at], 0) if len(known) else np.zeros(len(one), np.int64)
-                log = np.where(is_head, np.log10((c + ADD) / under), 0.0)
-                p = (middle(m["filter"].levels(one)) + ADD) / under
-                prob = p[back]
-                frequent = held(m["frequent"], one)
-                f = frequent[back]
-                both = np.flatnonzero(f[1:] & f[:-1] & (doc[1:] == doc[:-1])) + 1
-                if len(both):
-                    pair, of = np.unique(pair_hash(h[both - 1], h[both]), return_inverse=True)
-                    cond = np.minimum(middle(m["filter"].levels(pair))[of] / np.maximum(c[back[both - 1]], 1), 1.0)
-                    prob[both] = (1 - PAIRS) * prob[both] + PAIRS * cond
-                where = slice(part.row, part.row + part.n)
-                count[where] = np.bincount(doc, minlength=part.n)
-                seen[where] = np.bincount(doc, is_head[back], part.n)
-                base[where] = np.bincount(doc, log[back], part.n)
-                own[where] = np.bincount(doc, np.log10(prob), part.n)
-                tail = np.flatnonzero(~is_head[back])
-                if len(tail):
-                    order = tail[np.lexsort((back[tail], doc[tail]))]
-                    new = np.ones(len(order), bool)
-                    new[1:] = (doc[order][1:] != doc[order][:-1]) | (back[order][1:] != back[order][:-1])
-                    first = np.flatnonzero(new)
-                    rest_doc.append(doc[order][first] + part.row)
-                    rest_h.append(h[order][first])
-                    rest_n.append(np.diff(np.append(first, len(order))))
-            rd, rh, rn = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((rest_doc, np.int64), (rest_h, W.U), (rest_n, np.int64)))
-            offsets = pa.array(np.searchsorted(rd, np.arange(rows + 1)), pa.int32())
-            rest = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(rh.view(np.int64)), pa.array(rn, pa.int64())], ["h", "n"]))
-            cols = [batch.column(i) for i in range(batch.num_columns) if i != place]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(count), pa.array(seen), pa.array(base), pa.array(own), rest], [*names, "n_tokens", "n_known", "base_score", "score", "_rest"])
+        n_rows = own.num_rows
+        texts = own.column(text).combine_chunks()
+        (part,) = W.parts(texts, lower=True, size=1 << 62)
+        h, doc = tokens(part)
+        one, back = np.unique(h, return_inverse=True)
+        is_head = held(known, one)
+        at = np.minimum(np.searchsorted(known, one), max(len(known) - 1, 0))
+        c = np.where(is_head, often[at], 0) if len(known) else np.zeros(len(one), np.int64)
+        log = np.where(is_head, np.log10((c + ADD) / under), 0.0)
+
+        both = pairs(h, doc, m["frequent"])
+        pair, of = np.unique(pair_hash(h[both - 1], h[both]), return_inverse=True)
+        every = np.unique(np.concatenate([one, pair]))  # as in asked()
+        order, _, _ = dealt(every, chunks)
+        got = held_in(levels.sort_by("_k").column("_q"), np.uint8)
+        q = np.zeros(len(every), np.int64)
+        q[order] = np.concatenate(got)
+        seen = middle(q)
+        prob = ((seen[np.searchsorted(every, one)] + ADD) / under)[back]
+        cond = np.minimum(seen[np.searchsorted(every, pair)][of] / np.maximum(c[back[both - 1]], 1), 1.0)
+        prob[both] = (1 - PAIRS) * prob[both] + PAIRS * cond
+
+        tail = np.flatnonzero(~is_head[back])
+        order = tail[np.lexsort((back[tail], doc[tail]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[order][1:] != doc[order][:-1]) | (back[order][1:] != back[order][:-1])
+        first = np.flatnonzero(new)
+        rest_doc, rest_n = doc[order][first], np.diff(np.append(first, len(order)))
+        offsets = pa.array(np.searchsorted(rest_doc, np.arange(n_rows + 1)), pa.int32())
+        rest = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(h[order][first].view(np.int64)), pa.array(rest_n, pa.int64())], ["h", "n"]))
+        sums = [np.bincount(doc, minlength=n_rows), np.bincount(doc, is_head[back], n_rows).astype(np.int64), np.bincount(doc, log[back], n_rows), np.bincount(doc, np.log10(prob), n_rows)]
+        return pa.table([*(own.column(x) for x in names), *map(pa.array, sums), rest], [*names, "n_tokens", "n_known", "base_score", "score", "_rest"])
 
     kinds = {"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "base_score": F.lit(0.0), "score": F.lit(0.0), "_rest": F.lit(None).cast("array<struct<h:long,n:long>>")}
-    got = docs.mapInArrow(run, docs.drop(text).withColumns(kinds).schema).withColumn("_row", F.monotonically_increasing_id())
-    got = storage.written(got, "lm-scored")  # the row numbers are fixed from here on
+    schema = docs.drop(text).withColumns(kinds).schema
+    levels = looked_up(rows, model)
+    texts = rows.where(F.col("_k").isNull()).drop("_k", "_h")
+    got = texts.groupBy("_g").cogroup(levels.groupBy("_g")).applyInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
+    got = freed(got, "lm-scored")  # the row numbers are fixed from here on
+    storage.dropped(rows, levels)
     rest = got.select("_row", F.explode("_rest").alias("r")).select("_row", "r.h", "r.n")
     rare = model["counts"].where(F.col("c") < model["cut"]) if model["cut"] > 1 else model["counts"].limit(0)
     joined = rest.join(rare, "h", "left")

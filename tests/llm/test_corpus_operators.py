@@ -108,3 +108,16 @@ def test_lm_without_training_rows(spark):
     got = {r.doc_id: r for r in lm_scoring.score(docs, lm_scoring.fit(docs.limit(0))).collect()}
     assert (got[1].n_tokens, got[1].n_known, got[1].train_tokens, got[2].n_tokens) == (3, 0, 0, 1)
     assert math.isclose(got[1].base_score, 0.0, abs_tol=1e-12)
+
+
+def test_lm_filter_has_no_ceiling(spark, monkeypatch):
+    """A word's score doesn't depend on how many others there are: none is left out when bits or chunks are many."""
+    monkeypatch.setattr(lm_scoring, "MOST_BITS", 1 << 12, raising=False)  # the ceiling of old
+    monkeypatch.setattr(lm_scoring, "OCCURRENCES", 100, raising=False)
+    train = spark.createDataFrame([(i, " ".join(f"w{i * 50 + j}" for j in range(50))) for i in range(100)], "doc_id long, text string")
+    train = train.unionByName(train).repartition(3)
+    model = lm_scoring.fit(train)
+    docs = spark.createDataFrame([(i, f"w{i}") for i in range(5000)] + [(-1, "unseen"), (-1, "other")], "doc_id long, text string")
+    scores = {i: s for i, s in lm_scoring.score(docs, model).select("doc_id", "score").collect()}
+    assert len(scores) == 5001
+    assert min(s for i, s in scores.items() if i >= 0) > scores[-1] + 1
