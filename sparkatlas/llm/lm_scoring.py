@@ -1,14 +1,13 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts, beside exact unigram scores.
 
-Counts of all training words, and of all pairs of frequent words (FREQUENT of the tokens or more each, so at most
-1 / FREQUENT words), are summed over the corpus. A count c has level 1 + floor(2 log2 c); its n-gram enters the filter
+Counts of all training words, and of all pairs of adjacent words (the end token too), are summed over the corpus. A count c has level 1 + floor(2 log2 c); its n-gram enters the filter
 once for each level up to its own. The filter is a table of chunks that grows with the n-grams, by their hash: each chunk
 has BITS_PER_ENTRY bits for each of its entries, and the chunks are as many as the tokens ask for. It is never gathered:
 texts are scored in groups, whose distinct n-grams are dealt out to the chunks and come back as levels. A level is read
 back by probing 1, 2, ... until a probe fails.
 
-P(word | before) = P(word), or for two frequent words (1 - PAIRS) P(word) + PAIRS count(before word) / count(before);
-P(word) = (count + ADD) / (N + ADD (V + 1)).
+P(word | before) = (1 - PAIRS) P(word) + PAIRS count(before word) / count(before), or P(word) for a first word or where
+the word before is unseen; P(word) = (count + ADD) / (N + ADD (V + 1)). All counts are those of the filter's levels.
 
 The exact base score takes the counts of the HEAD most frequent words from a broadcast table; all other words of a text
 join the counts by a shuffle. Null texts are empty: they have the end token only. Rows that repeat are scored one by one;
@@ -29,15 +28,16 @@ from sparkatlas.llm import storage
 from sparkatlas.llm import words as W
 
 ADD = 0.1
-FREQUENT = 1 / 2000
 PAIRS = 0.1
 HEAD = 1 << 20
 #: The fewest chunks of the filter, and the occurrences of n-grams that a chunk has at most, about.
 CHUNKS, OCCURRENCES = 64, 1 << 22
+#: Bits of an n-gram's hash that are kept within a chunk: of OCCURRENCES n-grams, another one of 2^18 has the same.
+KEY = 40
 #: Bytes of text whose distinct n-grams are counted, and looked up, together; a longer text is a group of its own.
 GROUP = 4 * W.SLICE
-#: Spark's setting by which shuffle files go when the query that made them is done.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files go when the table they were for is written, and tables are packed tightly.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
 BITS_PER_ENTRY = 12
 PROBES = 6
 #: The hash of the end token: words of one or more bytes have others, but for chance.
@@ -62,6 +62,12 @@ def tokens(part: W.Part) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.insert(part.doc, at, np.arange(part.n))
 
 
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """tokens() of a column, a slice at a time to spare memory."""
+    got = [(h, doc + part.row) for part in W.parts(texts, lower=True) for h, doc in [tokens(part)]]
+    return np.concatenate([h for h, _ in got]), np.concatenate([doc for _, doc in got])
+
+
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return W.mix(a * W.U(W.BASE) + b)
 
@@ -97,13 +103,36 @@ def pulled(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def dealt(h: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of hashes by chunk, then as they are; the chunks that have some, and where each begins (and the end)."""
-    k = (W.mix(h) % W.U(chunks)).astype(np.int64)
-    order = np.argsort(k, kind="stable")
-    k = k[order]
+def ids(h: np.ndarray, chunks: int) -> np.ndarray:
+    """The chunk of each n-gram, then KEY bits of its hash that tell it from others of its chunk."""
+    x = W.mix(h)
+    return ((x & W.U(0xFFFFFF)) % W.U(chunks)) << W.U(KEY) | x >> W.U(64 - KEY)
+
+
+def chunks_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks of sorted ids, and where each begins (and the end)."""
+    k = (x >> W.U(KEY)).astype(np.int32)
     at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    return order, k[at], np.append(at, len(k))
+    return k[at], np.append(at, len(k))
+
+
+def packed(x: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The keys of sorted ids, for each chunk: differences, their lowest bytes first, as the highest are mostly 0."""
+    d = x & W.U((1 << KEY) - 1)
+    first = d[at[:-1]]
+    d[1:] -= d[:-1].copy()
+    d[at[:-1]] = first
+    b = d.view(np.uint8).reshape(-1, 8)[:, : KEY // 8]
+    return pa.array([b[i:j].T.tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+
+def unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
+    out = []
+    for b in held_in(column, np.uint8):
+        d = np.zeros((len(b) * 8 // KEY, 8), np.uint8)
+        d[:, : KEY // 8] = b.reshape(KEY // 8, -1).T
+        out.append(np.cumsum(d.view(W.U).ravel(), dtype=W.U))
+    return out
 
 
 def blobs(x: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -159,8 +188,8 @@ class Filter:
         return out
 
 
-def filtered(train: DataFrame, n: int, grams) -> tuple[DataFrame, int]:
-    """k and bits: the filter's chunks, of all n-grams that grams(part) gives (a written table); and how many chunks there may be.
+def filtered(train: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """k and bits: the filter's chunks, of all words and pairs (a written table); and how many chunks there may be.
 
     They are as many as 2 n occurrences ask for, so that one is counted and filled in bounded memory at any size.
     """
@@ -168,14 +197,13 @@ def filtered(train: DataFrame, n: int, grams) -> tuple[DataFrame, int]:
 
     def count(batches):
         for batch in batches:
-            for part in W.parts(batch.column(0), lower=True, size=GROUP):
-                h, c = np.unique(grams(part), return_counts=True)
-                order, k, at = dealt(h, chunks)
-                cols = [pa.array(k.astype(np.int32)), blobs(h[order], at), blobs(c[order].astype(np.uint32), at)]
-                yield pa.RecordBatch.from_arrays(cols, ["k", "h", "c"])
+            for part in W.parts(batch.column(0), None, size=GROUP):
+                x, c = np.unique(ids(grams(batch.column(0).slice(part.row, part.n)), chunks), return_counts=True)
+                k, at = chunks_of(x)
+                yield pa.RecordBatch.from_arrays([pa.array(k), packed(x, at), blobs(c.astype(np.uint32), at)], ["k", "h", "c"])
 
     def build(table):
-        h, of = np.unique(np.concatenate(held_in(table.column("h"), W.U)), return_inverse=True)
+        h, of = np.unique(np.concatenate(unpacked(table.column("h"))), return_inverse=True)
         c = np.bincount(of, np.concatenate(held_in(table.column("c"), np.uint32))).astype(np.int64)
         return pa.table({"k": table.column("k")[:1], "bits": pa.array([Filter.of(h, c).bits.tobytes()], pa.binary())})
 
@@ -184,17 +212,19 @@ def filtered(train: DataFrame, n: int, grams) -> tuple[DataFrame, int]:
 
 
 def freed(df: DataFrame, name: str) -> DataFrame:
-    """storage.written, after which what was shuffled for it is deleted."""
+    """storage.written as WRITING says."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEAN_UP, None)
-    conf.set(CLEAN_UP, "true")
+    before = {k: conf.get(k, None) for k in WRITING}
+    for k, x in WRITING.items():
+        conf.set(k, x)
     try:
         return storage.written(df, name)
     finally:
-        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
+        for k, x in before.items():
+            conf.unset(k) if x is None else conf.set(k, x)
 
 
-def asked(docs: DataFrame, text: str, chunks: int, grams) -> DataFrame:
+def asked(docs: DataFrame, text: str, chunks: int) -> DataFrame:
     """docs in groups _g, and, in rows of their own, the distinct n-grams of each group by chunk _k (a written table)."""
     place, names = docs.columns.index(text), [*docs.columns, "_g", "_k", "_h"]
     kinds = {"_g": F.lit(None).cast("long"), "_k": F.lit(None).cast("int"), "_h": F.lit(None).cast("binary")}
@@ -203,17 +233,17 @@ def asked(docs: DataFrame, text: str, chunks: int, grams) -> DataFrame:
     def run(batches):
         made = 0
         for batch in batches:
-            for part in W.parts(batch.column(place), lower=True, size=GROUP):
+            for part in W.parts(batch.column(place), None, size=GROUP):
                 g = (TaskContext.get().partitionId() << 33) + made
                 made += 1
                 own = batch.slice(part.row, part.n)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(part.n, g)), pa.nulls(part.n, pa.int32()), pa.nulls(part.n, pa.binary())], names)
-                h = np.unique(grams(part))
-                order, k, at = dealt(h, chunks)
+                x = np.unique(ids(grams(own.column(place)), chunks))
+                k, at = chunks_of(x)
                 none = [pa.nulls(len(k), f.type) for f in own.schema]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(np.full(len(k), g)), pa.array(k.astype(np.int32)), blobs(h[order], at)], names)
+                yield pa.RecordBatch.from_arrays([*none, pa.array(np.full(len(k), g)), pa.array(k), packed(x, at)], names)
 
-    return storage.written(plain.mapInArrow(run, plain.withColumns(kinds).schema), "lm-asked")
+    return freed(plain.mapInArrow(run, plain.withColumns(kinds).schema), "lm-asked")
 
 
 def looked_up(rows: DataFrame, model: dict) -> DataFrame:
@@ -225,7 +255,7 @@ def looked_up(rows: DataFrame, model: dict) -> DataFrame:
     salts = max(1, math.ceil(groups * (GROUP // 4) / model["chunks"] / OCCURRENCES))
 
     def probe(asks, filters):
-        h = held_in(asks.column("_h"), W.U)
+        h = unpacked(asks.column("_h"))
         at = np.cumsum([0, *map(len, h)])
         bits = held_in(filters.column("bits"), np.uint8)
         q = Filter(bits[0]).levels(np.concatenate(h)) if bits and h else np.zeros(int(at[-1]), np.uint8)
@@ -244,22 +274,19 @@ def fit(train: DataFrame, text: str = "text") -> dict:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).collect()[0]
     cut = at_most(counts, HEAD)
     head = pulled(counts.where(F.col("c") >= cut))
-    frequent = np.sort(head[0][head[1] >= max(2, FREQUENT * n)]) if n else np.zeros(0, W.U)
-    sent = train.sparkSession.sparkContext.broadcast(frequent)
-    table, chunks = filtered(train, int(n), lambda part: grams(part, sent.value))
-    return {"n": int(n), "v": int(v), "head": head, "cut": cut, "counts": counts, "frequent": frequent, "filter": table, "chunks": chunks}
+    table, chunks = filtered(train, int(n))
+    return {"n": int(n), "v": int(v), "head": head, "cut": cut, "counts": counts, "filter": table, "chunks": chunks}
 
 
-def pairs(h: np.ndarray, doc: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The places of the second words of the pairs that have counts of their own."""
-    known = held(frequent, h)
-    return np.flatnonzero(known[1:] & known[:-1] & (doc[1:] == doc[:-1])) + 1
+def pairs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all words that have one before them in their text, and the hashes of these pairs."""
+    at = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    return at, pair_hash(h[at - 1], h[at])
 
 
-def grams(part: W.Part, frequent: np.ndarray) -> np.ndarray:
-    h, doc = tokens(part)
-    both = pairs(h, doc, frequent)
-    return np.concatenate([h, pair_hash(h[both - 1], h[both])])
+def grams(texts: pa.Array) -> np.ndarray:
+    h, doc = tokens_of(texts)
+    return np.concatenate([h, pairs(h, doc)[1]])
 
 
 def held(among: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -275,34 +302,30 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     under = n + ADD * (v + 1)
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     docs = docs.drop(*added)
-    sent = spark.sparkContext.broadcast({k: model[k] for k in ("head", "frequent")})
+    sent = spark.sparkContext.broadcast(model["head"])
     names = [c for c in docs.columns if c != text]
-    rows = asked(docs, text, chunks, lambda part: grams(part, sent.value["frequent"]))
+    rows = asked(docs, text, chunks)
 
     def run(own, levels):
-        m = sent.value
-        known, often = m["head"]
+        known, often = sent.value
         n_rows = own.num_rows
-        texts = own.column(text).combine_chunks()
-        (part,) = W.parts(texts, lower=True, size=1 << 62)
-        h, doc = tokens(part)
+        h, doc = tokens_of(own.column(text))
         one, back = np.unique(h, return_inverse=True)
         is_head = held(known, one)
         at = np.minimum(np.searchsorted(known, one), max(len(known) - 1, 0))
         c = np.where(is_head, often[at], 0) if len(known) else np.zeros(len(one), np.int64)
         log = np.where(is_head, np.log10((c + ADD) / under), 0.0)
 
-        both = pairs(h, doc, m["frequent"])
-        pair, of = np.unique(pair_hash(h[both - 1], h[both]), return_inverse=True)
-        every = np.unique(np.concatenate([one, pair]))  # as in asked()
-        order, _, _ = dealt(every, chunks)
-        got = held_in(levels.sort_by("_k").column("_q"), np.uint8)
-        q = np.zeros(len(every), np.int64)
-        q[order] = np.concatenate(got)
-        seen = middle(q)
-        prob = ((seen[np.searchsorted(every, one)] + ADD) / under)[back]
-        cond = np.minimum(seen[np.searchsorted(every, pair)][of] / np.maximum(c[back[both - 1]], 1), 1.0)
-        prob[both] = (1 - PAIRS) * prob[both] + PAIRS * cond
+        both, pair = pairs(h, doc)
+        pair, of = np.unique(pair, return_inverse=True)
+        one_id, pair_id = ids(one, chunks), ids(pair, chunks)
+        every = np.unique(np.concatenate([one_id, pair_id]))  # as in asked()
+        seen = middle(np.concatenate(held_in(levels.sort_by("_k").column("_q"), np.uint8)).astype(np.int64))
+        word = seen[np.searchsorted(every, one_id)]
+        prob = ((word + ADD) / under)[back]
+        before, together = word[back[both - 1]], seen[np.searchsorted(every, pair_id)][of]
+        both, before, together = (x[before > 0] for x in (both, before, together))
+        prob[both] = (1 - PAIRS) * prob[both] + PAIRS * np.minimum(together / before, 1.0)
 
         tail = np.flatnonzero(~is_head[back])
         order = tail[np.lexsort((back[tail], doc[tail]))]

@@ -121,3 +121,12 @@ def test_lm_filter_has_no_ceiling(spark, monkeypatch):
     scores = {i: s for i, s in lm_scoring.score(docs, model).select("doc_id", "score").collect()}
     assert len(scores) == 5001
     assert min(s for i, s in scores.items() if i >= 0) > scores[-1] + 1
+
+
+def test_lm_counts_all_pairs(spark):
+    """Rare words too have pairs: seen ten times together, they score better in their order than in the other."""
+    train = spark.createDataFrame([(i, " ".join(["the"] * 3000)) for i in range(20)] + [(i, "left right and right") for i in range(10)], "doc_id long, text string")
+    docs = spark.createDataFrame([(0, "left right"), (1, "right left"), (2, "unseen right"), (3, "right")], "doc_id long, text string")
+    scores = dict(lm_scoring.score(docs, lm_scoring.fit(train)).select("doc_id", "score").collect())
+    assert scores[0] > scores[1] + 2
+    assert math.isclose(scores[2] - scores[3], math.log10(0.1 / (60070 + 0.1 * 6)), rel_tol=1e-6)  # after an unseen word, as a first word
