@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over other long tokens.
 
-Base kinds are assign, access and hex. A further span, kind `random`, is a run of TOKEN_CHARS characters of LEAST_TOKEN
-or more that meets no base span, whose characters look drawn at random from the alphabet of its inferred encoding: a
+Base kinds are assign, access and hex. A further span, kind `random`, is a piece of LEAST_TOKEN or more of a run of
+TOKEN_CHARS characters (see pieces) that meets no base span, whose characters look drawn at random from the alphabet of its inferred encoding: a
 chi-squared test of uniformity and a test of lag-1 serial correlation don't reject that, and a test of the runs of
 character classes rejects ordinary text (where classes seldom change). The latter's p-values, weighted by length, pass
 the Benjamini-Hochberg procedure within a text at rate FDR.
@@ -44,6 +44,8 @@ HEX = table(DIGITS + b"abcdef")
 TOKEN_CHARS = table(DIGITS + LOWER + UPPER + b"+/_=-")
 #: Encodings, the narrowest first.
 ENCODINGS = (DIGITS + b"abcdef", DIGITS + b"ABCDEF", UPPER + b"234567", UPPER + DIGITS, LOWER + DIGITS, UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + b"+/", UPPER + LOWER + DIGITS + b"-_")
+#: Parts of a run without `=`, and the symbols that are in one base64 alphabet but not the other.
+PIECE, STANDARD, SAFE = re.compile(rb"[^=]+"), re.compile(rb"[+/]"), re.compile(rb"[-_]")
 CLASS = np.full(256, 3, np.int8)
 CLASS[list(DIGITS)], CLASS[list(LOWER)], CLASS[list(UPPER)] = 0, 1, 2
 
@@ -87,6 +89,22 @@ def text_p(token: bytes) -> float | None:
     return binomial_tail(n - 1, changes, TEXT_CHANGES)
 
 
+def pieces(raw: bytes, a: int, b: int) -> list[tuple[int, int]]:
+    """The parts of a run to test: between inner `=`; where these mix the symbols of two alphabets, split at those of either."""
+    out = set()
+    for m in PIECE.finditer(raw, a, b):
+        x, y = m.span()
+        own = raw[x:y]
+        mixed = STANDARD.search(own) and SAFE.search(own)
+        for split in (STANDARD, SAFE) if mixed else ():
+            at = [x, *(x + k for s in split.finditer(own) for k in s.span()), y]
+            out.update(zip(at[::2], at[1::2], strict=True))
+        if not mixed:
+            out.add((x, y))
+    end = len(raw[a:b].rstrip(b"=")) + a
+    return sorted((x, b if y == end else y) for x, y in out if y - x >= LEAST_TOKEN)
+
+
 def discoveries(found: list[tuple[float, int]]) -> list[bool]:
     """Benjamini-Hochberg over (p, length), with weights in proportion to length."""
     if not found:
@@ -106,12 +124,14 @@ def spans_of(raw: bytes, hexes: list[tuple[int, int]], tokens: list[tuple[int, i
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(raw) if len(m[2]) >= LEAST_VALUE]
     if access:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(raw) if len(m[0]) >= LEAST_ACCESS]
-    free = [(a, b) for a, b in tokens if not any(a < y and x < b for x, _, y in out)]
+    free = [(a, b) for x, y in tokens for a, b in pieces(raw, x, y) if not any(a < y and x < b for x, _, y in out)]
     scored = [(p, a, b) for a, b in free if (p := text_p(raw[a:b])) is not None]
-    for (_, a, b), good in zip(scored, discoveries([(p, b - a) for p, a, b in scored]), strict=True):
-        if good:
-            out.append((a, 3, b))
-    return sorted(out)
+    good = [x for x, keep in zip(scored, discoveries([(p, b - a) for p, a, b in scored]), strict=True) if keep]
+    taken: list[tuple[int, int]] = []
+    for _, a, b in sorted(good):  # two readings of one run may overlap
+        if not any(a < y and x < b for x, y in taken):
+            taken.append((a, b))
+    return sorted(out + [(a, 3, b) for a, b in taken])
 
 
 def long_runs(part: W.Part, keep: np.ndarray, least: int) -> dict[int, list[tuple[int, int]]]:

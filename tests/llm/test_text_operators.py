@@ -184,3 +184,19 @@ def test_empty_tables_and_clashing_columns(spark, docs):
     clash = docs.limit(3).selectExpr("*", "1 as n_tokens", "'x' as found", "2 as n_words", "3 as score", "4 as item_ids", "5 as ids")
     assert all(f(clash).count() == 3 for f in (bpe.encode, token_counts.count, secrets.scan))
     assert decontaminate.scan(clash, items.limit(0)).agg({"n_hit": "sum"}).collect()[0][0] == 0
+
+
+def test_random_tokens_inside_runs():
+    """After a name and `=`, and in paths whose symbols are of two alphabets."""
+    rng = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = "".join(rng.choice(alphabet) for _ in range(40)).encode()
+    slashed = token[:20] + b"/" + token[20:]
+    for before, own, after in ((b"GH_PAT=", token, b""), (b"AWS_ACCESS_KEY=", slashed, b"=="), (b"", token, b"=on"), (b"v1/my-app_one/", token, b"/raw"), (b"my-app_one-", slashed, b"")):
+        raw = b"see " + before + own + after + b" end"
+        runs = [(m.start(), m.end()) for m in re.finditer(rb"[A-Za-z0-9+/_=-]{20,}", raw)]
+        a = 4 + len(before)
+        ((first, kind, last),) = secrets.spans_of(raw, [], runs, False, False)
+        assert kind == 3 and first <= a and last >= a + len(own)
+        if b"=" in before + after:
+            assert (first, last) == (a, a + len(own) + len(after) * (after == b"=="))
