@@ -200,3 +200,21 @@ def test_random_tokens_inside_runs():
         assert kind == 3 and first <= a and last >= a + len(own)
         if b"=" in before + after:
             assert (first, last) == (a, a + len(own) + len(after) * (after == b"=="))
+
+
+@pytest.mark.parametrize("lengths, alphabet, missed", [
+    ((20, 32), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 10),
+    ((20, 40), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 10),
+    ((20, 32), "abcdefghijklmnopqrstuvwxyz0123456789", 10),
+    ((32, 40), "0123456789ABCDEF", 10),
+    ((20, 40), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 10),
+    ((40, 64), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 10),
+    ((40, 64), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 10),
+    ((32, 40), "abcdefghijklmnopqrstuvwxyz", 20),
+    ((32, 40), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 20),
+])
+def test_random_tokens_of_each_encoding(lengths, alphabet, missed):
+    rng = random.Random(11)
+    for n in lengths:
+        tokens = ["".join(rng.choice(alphabet) for _ in range(n)).encode() for _ in range(100)]
+        assert sum(secrets.spans_of(t, [], [(0, n)], False, False) != [(0, 3, n)] for t in tokens) <= missed
