@@ -6,7 +6,7 @@ more blocks, run one after another over the same rows. A text is streamed throug
 only runs whose neighbouring words are neighbours in some item are walked at all, which loses no match.
 
 A window is WINDOW consecutive words of an item, or the whole of a shorter item. Null texts and items have no words; an
-item that occurs twice under one id counts once; repeated rows are judged alike; empty tables give no hits.
+item that occurs twice under one id counts once; items of null id hit as others do, and are one null at the end of item_ids; repeated rows are judged alike; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ class Automaton:
                 found.setdefault((v, n), set()).add(name)
         marks: dict[int, list] = {}
         for (v, n), names in found.items():
-            marks.setdefault(v, []).append((n, tuple(sorted(names))))
+            marks.setdefault(v, []).append((n, tuple(sorted(names, key=nulls_last))))
         #: for each state, the windows that end with it: its own and those of the states that it links to
         self.marks: list[tuple] = [()] * len(self.next)
         for v in sorted(range(len(self.next)), key=self.length.__getitem__):
@@ -118,6 +118,10 @@ class Automaton:
             yield int(first[k]), int(last[k])
 
 
+def nulls_last(ident: str | None) -> tuple[bool, str]:
+    return ident is None, ident or ""
+
+
 def held(among: np.ndarray, x: np.ndarray) -> np.ndarray:
     if not len(among):
         return np.zeros(len(x), bool)
@@ -127,7 +131,7 @@ def held(among: np.ndarray, x: np.ndarray) -> np.ndarray:
 def blocks(items: DataFrame, ident: str, text: str, most: int = BLOCK_WORDS) -> Iterator[list[tuple[str, np.ndarray]]]:
     """Items as words, streamed from the table, at most about `most` words at a time; one longer item is a block of its own."""
     block, n = [], 0
-    for row in items.select(F.col(ident).cast("string"), F.col(text)).where(F.col(ident).isNotNull()).toLocalIterator():
+    for row in items.select(F.col(ident).cast("string"), F.col(text)).toLocalIterator():
         part = next(W.parts(pa.array([row[1]], pa.string()), W.ALNUM, lower=True))
         if block and n + len(part.first) > most:
             yield block
@@ -138,12 +142,12 @@ def blocks(items: DataFrame, ident: str, text: str, most: int = BLOCK_WORDS) ->
 
 
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", most: int = BLOCK_WORDS, clean: bool = False) -> DataFrame:
-    """docs with n_words, n_hit, item_ids (sorted strings) and, if clean, cleaned (the text without the hit spans)."""
+    """docs with n_words, n_hit, item_ids (sorted strings, then null) and, if clean, cleaned (the text without the hit spans)."""
     spark = docs.sparkSession
     added = ["n_words", "n_hit", "item_ids", "cleaned"]
     docs = docs.drop(*added, "_hits")
     own = len(docs.columns)
-    shape = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "item_ids": F.array(F.lit("x")), "_hits": F.lit("x").cast("binary"), "cleaned": F.lit("x")}).schema
+    shape = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "item_ids": F.array(F.lit("x"), F.lit(None)), "_hits": F.lit("x").cast("binary"), "cleaned": F.lit("x")}).schema
     for field in shape.fields[own:]:
         field.nullable = True
     place = docs.columns.index(text)
@@ -179,7 +183,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
                         if hit_counts[part.row + k] and final and clean:
                             cleaned[part.row + k] = without(batch.column(place)[part.row + k].as_py(), part, k, own_hit)
                 cols = [batch.column(i) for i in range(own)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts), pa.array(hit_counts), pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array([None] * n if final else hits, pa.binary()), pa.array(cleaned, pa.string())], shape.names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts), pa.array(hit_counts), pa.array([sorted(x, key=nulls_last) for x in names], pa.list_(pa.string())), pa.array([None] * n if final else hits, pa.binary()), pa.array(cleaned, pa.string())], shape.names)
 
         docs = docs.mapInArrow(run, shape)
         docs = docs if final else storage.written(docs, "decontaminate")

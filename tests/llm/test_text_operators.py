@@ -218,3 +218,11 @@ def test_random_tokens_of_each_encoding(lengths, alphabet, missed):
     for n in lengths:
         tokens = ["".join(rng.choice(alphabet) for _ in range(n)).encode() for _ in range(100)]
         assert sum(secrets.spans_of(t, [], [(0, n)], False, False) != [(0, 3, n)] for t in tokens) <= missed
+
+
+@pytest.mark.parametrize("most", [decontaminate.BLOCK_WORDS, 3])
+def test_benchmark_items_of_null_id_hit(spark, most):
+    items = spark.createDataFrame([(None, "alpha beta gamma"), (7, "delta epsilon"), (None, "zeta eta"), (None, "delta epsilon")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so alpha beta gamma and delta epsilon, zeta eta"), (2, "only alpha beta gamma"), (3, "none")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.item_ids, r.cleaned) for r in decontaminate.scan(docs, items, most=most, clean=True).collect()}
+    assert got == {1: (7, ["7", None], "so  and "), 2: (3, [None], "only "), 3: (0, [], "none")}
