@@ -28,7 +28,11 @@ def accumulated(events: DataFrame, keys: list[str], op: str = "op") -> DataFrame
 
 
 def bursts(events: DataFrame, key: str, width: str = "60 seconds", least: int = 500, at: str = "ts") -> DataFrame:
-    """Windows with so many events that everything is indexed again."""
+    """Windows with so many events that everything is indexed again.
+
+    The windows are aligned to the clock: a burst that a window's edge divides, with fewer than `least` events on either
+    side, is lost. exact_bursts, over the sorted events of one key, finds it.
+    """
     out = stamped(events, at).groupBy(F.window(at, width).alias("w"), key).agg(F.count("*").alias("events")).where(F.col("events") >= least)
     return out.select(key, F.col("w.start").alias("started"), "events")
 
