@@ -22,8 +22,6 @@ from sparkatlas.llm import words as W
 
 #: Sampled labelled rows of each language, about; the only bounded sample here.
 SAMPLE_ROWS = 4000
-#: Most frequent languages that are learned.
-LANGUAGES = 256
 #: An n-gram counts for a language if it makes up this share of the language's n-grams of its length ...
 LEAST_SHARE = 1e-5
 #: ... and this part of the largest share that any language gives it.
@@ -81,18 +79,18 @@ def places(codes: np.ndarray) -> list[np.ndarray]:
 
 
 def sampled(docs: DataFrame, text: str, lang: str, ident: str, rows: int) -> tuple[DataFrame, list[str]]:
-    """About `rows` rows of each of the most frequent languages, drawn by a hash of the id; and the languages."""
-    n = docs.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    """About `rows` rows of each language, drawn by a hash of the id; and the languages."""
+    n = docs.groupBy(F.col(lang).alias("l")).count().collect()
     rates = {r["l"]: int(min(1.0, rows / r["count"]) * (1 << 30)) for r in n}
     if not rates:
         return docs.limit(0), []
-    rate = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])
-    drawn = F.pmod(F.xxhash64(F.col(ident)), F.lit(1 << 30)) < F.element_at(rate, F.col(lang))
-    return docs.where(drawn), sorted(rates)
+    rate = F.broadcast(docs.sparkSession.createDataFrame(list(rates.items()), "_l string, _rate long"))
+    drawn = F.pmod(F.xxhash64(F.col(ident)), F.lit(1 << 30)) < F.col("_rate")
+    return docs.join(rate, F.col(lang) == F.col("_l")).where(drawn).drop("_l", "_rate"), sorted(rates)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id", rows: int = SAMPLE_ROWS) -> dict:
-    """Learn from the rows of docs whose lang isn't null: {languages, filters, fill}. Its size doesn't depend on docs."""
+    """Learn from the rows of docs whose lang isn't null: {languages, filters, fill}. Its size depends on docs by the number of languages only."""
     docs = docs.select(ident, text, lang).where(F.col(lang).isNotNull())
     sample, languages = sampled(docs, text, lang, ident, rows)
     if not languages:

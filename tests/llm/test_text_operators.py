@@ -226,3 +226,8 @@ def test_benchmark_items_of_null_id_hit(spark, most):
     docs = spark.createDataFrame([(1, "so alpha beta gamma and delta epsilon, zeta eta"), (2, "only alpha beta gamma"), (3, "none")], "doc_id long, text string")
     got = {r.doc_id: (r.n_hit, r.item_ids, r.cleaned) for r in decontaminate.scan(docs, items, most=most, clean=True).collect()}
     assert got == {1: (7, ["7", None], "so  and "), 2: (3, [None], "only "), 3: (0, [], "none")}
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(k * 2 + j, f"word{k} other{k} text{k}", f"l{k:03}") for k in range(300) for j in range(2)], "doc_id long, text string, lang string")
+    assert language_id.fit(docs)["languages"] == [f"l{k:03}" for k in range(300)]
