@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkatlas.llm import storage
+
 #: Pre-tokens that the cache of a Python worker holds at most.
 CACHE = 1 << 19
 #: The same in the pipeline, where other stages have left less memory.
@@ -150,6 +152,7 @@ def default_vocabulary() -> tuple[str, str]:
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """docs with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids."""
+    storage.bounded_batches(docs.sparkSession)
     known = default_vocabulary()
     path, pattern = path or known[0], pattern or known[1]
     sent = docs.sparkSession.sparkContext.broadcast(load(path))  # as large as the vocabulary

@@ -144,6 +144,7 @@ def blocks(items: DataFrame, ident: str, text: str, most: int = BLOCK_WORDS) ->
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", most: int = BLOCK_WORDS, clean: bool = False) -> DataFrame:
     """docs with n_words, n_hit, item_ids (sorted strings, then null) and, if clean, cleaned (the text without the hit spans)."""
     spark = docs.sparkSession
+    storage.bounded_batches(spark)
     added = ["n_words", "n_hit", "item_ids", "cleaned"]
     docs = docs.drop(*added, "_hits")
     own = len(docs.columns)

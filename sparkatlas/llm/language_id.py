@@ -15,9 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkatlas.llm import storage
 from sparkatlas.llm import words as W
 
 #: Sampled labelled rows of each language, about; the only bounded sample here.
@@ -100,29 +102,42 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "d
     def counted(batches):
         for batch in batches:
             of = np.array([number[x] for x in batch.column(1).to_pylist()])
-            for part in W.parts(batch.column(0), None):
-                for _, codes, doc in grams(part):
-                    at = of[part.row :][doc]
-                    for k in np.unique(at):
-                        code, c = np.unique(codes[at == k], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array(code.view(np.int64)), pa.array(c)], ["l", "code", "c"])
-
-    got = sample.select(F.lower(text), lang).mapInArrow(counted, "l int, code long, c long").groupBy("l", "code").agg(F.sum("c").alias("c"))
+            for first, texts in lowered(batch.column(0)):
+                for part in W.parts(texts, None):
+                    for _, codes, doc in grams(part):
+                        at = of[first + part.row :][doc]
+                        for k in np.unique(at):
+                            code, c = np.unique(codes[at == k], return_counts=True)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array(code.view(np.int64)), pa.array(c)], ["l", "code", "c"])
+
+    storage.bounded_batches(docs.sparkSession)
+    got = sample.select(text, lang).mapInArrow(counted, "l int, code long, c long").groupBy("l", "code").agg(F.sum("c").alias("c"))
     size = F.shiftrightunsigned(F.col("code"), 56)
     got = got.where("c > 1").withColumn("size", size)
-    total = got.groupBy("l", "size").agg(F.sum("c").alias("total"))
+    total = got.groupBy("l", "size").agg(F.sum("c").alias("total"))  # a row for each language and size
     got = got.join(F.broadcast(total), ["l", "size"]).withColumn("share", F.col("c") / F.col("total")).where(F.col("share") >= LEAST_SHARE)
-    got = got.select("l", "code", "share").toPandas()  # 1 / LEAST_SHARE rows for each language and size at most
-    got = got[got["share"] >= TYPICAL * got.groupby("code")["share"].transform("max")]
+    typical = got.groupBy("code").agg(F.max("share").alias("most"), F.collect_list(F.struct("share", "l")).alias("each"))  # a list has a place for each language
+    of = F.transform(F.filter("each", lambda x: x["share"] >= TYPICAL * F.col("most")), lambda x: x["l"])
     filters = np.zeros((PLACES, (len(languages) + 63) // 64), W.U)
-    for k in range(len(languages)):
-        codes = got.loc[got["l"] == k, "code"].to_numpy(np.int64).view(W.U)
+    for batch in typical.select("code", of.alias("of")).toArrow().to_batches():
+        which, column = np.diff(batch.column(1).offsets.to_numpy()), batch.column(1).flatten().to_numpy()
+        codes, bit = np.repeat(batch.column(0).to_numpy().view(W.U), which), np.left_shift(W.U(1), (column % 64).astype(W.U))
         for p in places(codes):
-            filters[p, k // 64] |= W.U(1 << (k % 64))
+            np.bitwise_or.at(filters, (p, column // 64), bit)
     fill = np.array([((filters[:, k // 64] >> W.U(k % 64)) & W.U(1)).mean() for k in range(len(languages))])
     return {"languages": languages, "filters": filters, "fill": fill**PROBES}
 
 
+def lowered(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The texts of an Arrow column in lower case, about W.SLICE bytes at a time, each with the number of its first; null is empty."""
+    for part in W.parts(column, None):
+        own = column.slice(part.row, part.n).fill_null("")
+        try:
+            yield part.row, pc.utf8_lower(own)
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            yield part.row, pa.array([x.as_py().decode("utf-8", "replace").lower() for x in own.cast(pa.binary())], pa.string())
+
+
 def votes(model: dict, column) -> np.ndarray:
     """For each text of an Arrow column, each language's share of its n-grams, corrected for false positives."""
     langs, filters = model["languages"], model["filters"]
@@ -146,28 +161,27 @@ def votes(model: dict, column) -> np.ndarray:
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with lang_pred and score; columns of these names are replaced."""
     spark = docs.sparkSession
+    storage.bounded_batches(spark)
     docs = docs.drop("lang_pred", "score")
     sent = spark.sparkContext.broadcast(model)
-    names = [*docs.columns, "_lower", "_letters"]
+    place, names = docs.columns.index(text), [*docs.columns, "lang_pred", "score"]
 
     def run(batches):
         model = sent.value
         langs = np.array([*model["languages"], "und"], object)
         for batch in batches:
-            letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
-            if model["languages"]:
-                v = votes(model, batch.column(batch.num_columns - 2))
+            pred, score = [], []
+            for _, texts in lowered(batch.column(place)):
+                letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool) & bool(model["languages"])
+                v = votes(model, texts) if model["languages"] else np.zeros((len(texts), 1))
                 best = v.argmax(1)
-                score = np.where(letters, v[np.arange(len(v)), best], 0.0)
-            else:
-                best, score = np.zeros(len(letters), int), np.zeros(len(letters))
-            pred = langs[np.where(letters & bool(model["languages"]), best, len(langs) - 1)]
-            cols = [batch.column(i) for i in range(batch.num_columns - 2)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names[:-2], "lang_pred", "score"])
+                score.append(np.where(letters, v[np.arange(len(v)), best], 0.0))
+                pred.append(langs[np.where(letters, best, len(langs) - 1)])
+            if pred:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(pred), pa.string()), pa.array(np.concatenate(score), pa.float64())], names)
 
     shape = docs.withColumns({"lang_pred": F.lit("x"), "score": F.lit(0.0)}).schema
-    lower = docs.select("*", F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_lower"), F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}").alias("_letters"))
-    return lower.mapInArrow(run, shape)
+    return docs.mapInArrow(run, shape)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkatlas.llm import storage
 from sparkatlas.llm import words as W
 
 KINDS = ("assign", "access", "hex", "random")
@@ -162,6 +163,7 @@ def texts_with(part: W.Part, lowered: bytes, stem: bytes) -> set[int]:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with found: an array of (kind, first, last) spans in code points, by first, then kind as in KINDS."""
+    storage.bounded_batches(docs.sparkSession)
     docs = docs.drop("found")
     place, names = docs.columns.index(text), [*docs.columns, "found"]
     kind = "array<struct<kind:string,first:long,last:long>>"

@@ -127,6 +127,7 @@ def repeated(docs: DataFrame, size: int, anchor: int) -> DataFrame:
 
 def dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", size: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the other words, joined by one space) and spans (first and last word, exclusive, of each factor)."""
+    storage.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
     found = repeated(docs, size, anchor)
     bytes_of = found.agg(F.coalesce(F.sum(F.length("factors") + 48), F.lit(0))).collect()[0][0]

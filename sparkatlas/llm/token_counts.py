@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkatlas.llm import storage
 from sparkatlas.llm import words as W
 
 #: Word lengths that a Python worker remembers at most.
@@ -99,6 +100,7 @@ class Automaton:
 
 def count(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """docs with n_words and n_tokens."""
+    storage.bounded_batches(docs.sparkSession)
     if path is None:
         import public_tokenizers
 

@@ -200,6 +200,7 @@ def packed(ids: list, vectors: list) -> pa.RecordBatch:
 def search(vectors: DataFrame, wanted, k: int = K, ident: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """The k best others of each vector whose id satisfies wanted(column): query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
+    storage.bounded_batches(spark)
     table = storage.written(whole(vectors, ident, vector), "topk-vectors")
     index = storage.written(shards(table), "topk-shards")
     first = index.orderBy(F.desc("n")).limit(1).collect()
