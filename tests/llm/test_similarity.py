@@ -3,9 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from sparkatlas.llm import jaccard_join, substring_dedup
+from sparkatlas.llm import components, jaccard_join, substring_dedup
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -53,6 +54,11 @@ def test_jaccard_components(spark, monkeypatch, small, crowd, cell):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "CROWD", crowd)
     monkeypatch.setattr(jaccard_join, "CELL", cell)
+    if cell < 500_000:
+        for name, value in (("BLOCK", 8), ("BLOCKS", 3), ("LEAF", 4), ("STAR", 3)):
+            monkeypatch.setattr(jaccard_join, name, value)
+    if cell == 2_000:
+        monkeypatch.setattr(components, "FEW", 0)
     rng = random.Random(small)
     texts = near_copies(rng, 40) + near_copies(rng, 12) + ["a b c", "A B c", "a b", "", None, " \n", "x"] * 2
     passage = " ".join(f"p{i}" for i in range(30))
@@ -65,6 +71,35 @@ def test_jaccard_components(spark, monkeypatch, small, crowd, cell):
     assert got == components_brute(rows, 4, 85)
 
 
+@pytest.mark.parametrize("leaf, same", [(4, True), (4, False), (64, True)])
+def test_partners_in_a_cell_equal_brute_force(monkeypatch, leaf, same):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    rng = np.random.default_rng(leaf)
+    pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool if k % 5 == 0 else pool[k % 7 * 200 : k % 7 * 200 + 90], 86, False)) for k in range(120)]
+    n, component, side = np.array([len(x) for x in sets]), rng.integers(0, 40, 120), rng.integers(0, 2, 120)
+    bits = np.stack([jaccard_join.parities(x) for x in sets]).view(np.uint64)
+    got = jaccard_join.Cell(bits, n, component, 85).partners(side, same)
+    near = lambda i, j: component[i] != component[j] and (same or side[i] != side[j]) and 185 * np.bitwise_count(bits[i] ^ bits[j]).sum() <= 15 * (n[i] + n[j])
+    assert got.tolist() == [any(near(i, j) for j in range(120) if j != i) for i in range(120)] and 0 < got.sum() < 120
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        x, y = (jaccard_join.parities(v).view(np.uint64) for v in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_one_row_of_an_id_stays(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (3, ""), (None, "z z"), (None, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, least string")
+    got = jaccard_join.stage(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 0, 1, 3]
+    assert jaccard_join.stage(spark, docs.limit(0), "").columns == docs.columns
+
+
 def test_jaccard_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "f g h i j"), (2, "f g h i j"), (None, "a b c d e"), (4, "z"), (4, "z")], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.join(docs).collect()))
