@@ -6,7 +6,8 @@ more blocks, run one after another over the same rows. A text is streamed throug
 only runs whose neighbouring words are neighbours in some item are walked at all, which loses no match.
 
 A window is WINDOW consecutive words of an item, or the whole of a shorter item. Null texts and items have no words; an
-item that occurs twice under one id counts once; items of null id hit as others do, and are one null at the end of item_ids; repeated rows are judged alike; empty tables give no hits.
+item that occurs twice under one id counts once; items of null id hit as others do, and are one null at the end of item_ids; repeated rows are judged alike; empty tables give no hits;
+bytes that are no UTF-8 are replaced in a text that is cut; columns named as the results are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -146,14 +147,15 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
     spark = docs.sparkSession
     storage.bounded_batches(spark)
     added = ["n_words", "n_hit", "item_ids", "cleaned"]
-    docs = docs.drop(*added, "_hits")
+    docs = docs.drop(*added)
+    outer, text = docs.columns, f"c{docs.columns.index(text)}"
+    docs = docs.toDF(*(f"c{k}" for k in range(len(outer))))  # no name of the caller's meets one of ours
     own = len(docs.columns)
     shape = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "item_ids": F.array(F.lit("x"), F.lit(None)), "_hits": F.lit("x").cast("binary"), "cleaned": F.lit("x")}).schema
     for field in shape.fields[own:]:
         field.nullable = True
     place = docs.columns.index(text)
-    every = list(blocks_ahead(blocks(items, item, item_text, most)))
-    for block, final in every:
+    for block, final in blocks_ahead(blocks(items, item, item_text, most)):
         sent = spark.sparkContext.broadcast(Automaton(block))
 
         def run(batches, sent=sent, final=final):
@@ -182,14 +184,15 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
                         if hit_counts[part.row + k] and not final:
                             hits[part.row + k] = np.packbits(own_hit).tobytes()
                         if hit_counts[part.row + k] and final and clean:
-                            cleaned[part.row + k] = without(batch.column(place)[part.row + k].as_py(), part, k, own_hit)
+                            cleaned[part.row + k] = without(batch.column(place)[part.row + k].as_buffer().to_pybytes(), part, k, own_hit)
                 cols = [batch.column(i) for i in range(own)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(counts), pa.array(hit_counts), pa.array([sorted(x, key=nulls_last) for x in names], pa.list_(pa.string())), pa.array([None] * n if final else hits, pa.binary()), pa.array(cleaned, pa.string())], shape.names)
 
         docs = docs.mapInArrow(run, shape)
         docs = docs if final else storage.written(docs, "decontaminate")
     # a text without hits stays as it is
-    return docs.withColumn("cleaned", F.coalesce("cleaned", F.col(text))).drop("_hits", *([] if clean else ["cleaned"]))
+    docs = docs.withColumn("cleaned", F.coalesce("cleaned", F.col(text))).drop("_hits", *([] if clean else ["cleaned"]))
+    return docs.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(outer)], *docs.columns[own:])
 
 
 def blocks_ahead(every: Iterator) -> Iterator[tuple[list, bool]]:
@@ -201,9 +204,9 @@ def blocks_ahead(every: Iterator) -> Iterator[tuple[list, bool]]:
     yield now, True
 
 
-def without(text: str, part: W.Part, k: int, hit: np.ndarray) -> str:
+def without(raw: bytes, part: W.Part, k: int, hit: np.ndarray) -> str:
     """The text without what lies between the first and the last word of each run of hit words."""
-    raw, out, at = text.encode("utf-8", "replace"), [], 0
+    out, at = [], 0
     edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
     base = part.at[k]
     for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):

@@ -6,7 +6,8 @@ well above flags it, and lines in between get exact distinct counts. Every occur
 first (smallest document id, then line number) if keep_first.
 
 Lines are what LF separates; lines of spaces only are never removed. A null site counts for nothing; a null text stays
-null with no lines; rows that repeat a document as a whole are treated alike. Columns named as the results are replaced.
+null with no lines; rows that repeat a document as a whole are treated alike. Columns named as the results are replaced;
+others stay, whatever their names. A text of any length is split as a whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,14 +49,16 @@ def dedup(docs: DataFrame, text: str = "text", site: str = "source", ident: str
         out = out.where(~F.struct("_id", "_of", "_pos").eqNullSafe(F.col("first")))
     gone = out.groupBy(*KEY).agg(F.array_sort(F.collect_set("_pos")).alias("_gone")).withColumnRenamed("_id", "_id2").withColumnRenamed("_of", "_of2")
 
-    got = docs.withColumn("_of", F.xxhash64(text)).join(gone, F.col(ident).eqNullSafe(F.col("_id2")) & (F.col("_of") == F.col("_of2")), "left")
+    got = docs.select(F.struct("*").alias("_row"), F.col(ident).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_of"))
+    got = got.join(gone, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_of") == F.col("_of2")), "left")
+    parted = F.split(F.col("_text"), "\n")
     n = F.size("_gone")
     stretch = lambda k: F.element_at("_gone", k + 1) - F.when(k == 0, F.lit(-1)).otherwise(F.element_at("_gone", F.greatest(k, F.lit(1)))) - 1  # noqa: E731  kept lines before the k-th that goes
     keep = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat(F.array_repeat(F.lit(True), stretch(k)), F.array(F.lit(False)))))
     short = F.array_join(F.zip_with(parted, keep, lambda line, k: F.when(F.coalesce(k, F.lit(True)), line)), "\n")
     return got.select(
-        *[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(short).alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
+        *[F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(short).alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns],
+        F.coalesce(F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(n, F.lit(0)).cast("long").alias("n_removed"),
     )
 

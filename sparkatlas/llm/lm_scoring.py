@@ -11,7 +11,7 @@ the word before is unseen; P(word) = (count + ADD) / (N + ADD (V + 1)). All coun
 
 The exact base score takes the counts of the HEAD most frequent words from a broadcast table; all other words of a text
 join the counts by a shuffle. Null texts are empty: they have the end token only. Rows that repeat are scored one by one;
-with no training row every count is 0. Very long texts are read whole, in slices.
+with no training row every count is 0; other columns stay, whatever their names, but for those of the results. Very long texts are read whole, in slices.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from sparkatlas.llm import words as W
 ADD = 0.1
 PAIRS = 0.1
 HEAD = 1 << 20
+#: Hashes, about, that are counted together before they go to the aggregate.
+TOGETHER = 1 << 21
 #: The fewest chunks of the filter, and the occurrences of n-grams that a chunk has at most, about.
 CHUNKS, OCCURRENCES = 64, 1 << 22
 #: Bits of an n-gram's hash that are kept within a chunk: of OCCURRENCES n-grams, another one of 2^18 has the same.
@@ -72,15 +74,25 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return W.mix(a * W.U(W.BASE) + b)
 
 
+def tallied(hashes: list[np.ndarray]) -> pa.RecordBatch:
+    h, c = np.unique(np.concatenate(hashes), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+
+
 def counted(rows: DataFrame, hashes) -> DataFrame:
     """h and c: how often each hash that hashes(part) gives occurs."""
 
     def run(batches):
+        got, n = [], 0
         for batch in batches:
-            got = [hashes(part) for part in W.parts(batch.column(0), lower=True)]
-            if got:
-                h, c = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+            for part in W.parts(batch.column(0), lower=True):
+                got.append(hashes(part))
+                n += len(got[-1])
+                if n >= TOGETHER:
+                    yield tallied(got)
+                    got, n = [], 0
+        if n:
+            yield tallied(got)
 
     return rows.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -228,7 +240,9 @@ def asked(docs: DataFrame, text: str, chunks: int) -> DataFrame:
     """docs in groups _g, and, in rows of their own, the distinct n-grams of each group by chunk _k (a written table)."""
     place, names = docs.columns.index(text), [*docs.columns, "_g", "_k", "_h"]
     kinds = {"_g": F.lit(None).cast("long"), "_k": F.lit(None).cast("int"), "_h": F.lit(None).cast("binary")}
-    plain = docs.select(*(F.when(F.lit(True), F.col(f"`{c}`")).alias(c) for c in docs.columns))  # nullable
+    shape = docs.withColumns(kinds).schema
+    for field in shape.fields:
+        field.nullable = True
 
     def run(batches):
         made = 0
@@ -243,7 +257,7 @@ def asked(docs: DataFrame, text: str, chunks: int) -> DataFrame:
                 none = [pa.nulls(len(k), f.type) for f in own.schema]
                 yield pa.RecordBatch.from_arrays([*none, pa.array(np.full(len(k), g)), pa.array(k), packed(x, at)], names)
 
-    return freed(plain.mapInArrow(run, plain.withColumns(kinds).schema), "lm-asked")
+    return freed(docs.mapInArrow(run, shape), "lm-asked")
 
 
 def looked_up(rows: DataFrame, model: dict) -> DataFrame:
@@ -304,6 +318,8 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     under = n + ADD * (v + 1)
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     docs = docs.drop(*added)
+    outer, text = docs.columns, f"c{docs.columns.index(text)}"
+    docs = docs.toDF(*(f"c{k}" for k in range(len(outer))))  # no name of the caller's meets one of ours
     sent = spark.sparkContext.broadcast(model["head"])
     names = [c for c in docs.columns if c != text]
     rows = asked(docs, text, chunks)
@@ -354,7 +370,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     sums = joined.groupBy("_row").agg(F.sum(F.col("n") * F.log10((c + ADD) / F.lit(under))).alias("_base"), F.sum(F.when(c > 0, F.col("n"))).alias("_known"))
     out = got.drop("_rest").join(sums, "_row", "left")
     return out.select(
-        *names, "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        *[F.col(c).alias(outer[int(c[1:])]) for c in names], "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), "score",
     )
 

@@ -10,7 +10,7 @@ the windows at its boundary are no longer found, so each is WINDOW words or long
 
 Windows are judged on the input: all occurrences go, also the first, also within one document. Words are runs of
 characters other than space, tab, LF, VT, FF, CR, unchanged. Null and empty texts have no words. Rows that repeat are
-occurrences of each other. Hashes have 64 bits. Other columns are ignored.
+occurrences of each other; bytes that are no UTF-8 stay as they are; an empty table gives an empty result. Hashes have 64 bits. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from sparkatlas.llm.bloom import bloom
 
 WINDOW = 35
 ANCHOR = 8
+#: Hashes, about, that are counted together before they go to the aggregate.
+TOGETHER = 1 << 21
 
 
 def sliding(x: np.ndarray, n: int, best) -> np.ndarray:
@@ -66,15 +68,25 @@ class Windows:
         return W.mix((total[which + self.size] - total[which]) * down[which])
 
 
+def tallied(hashes: list[np.ndarray]) -> pa.RecordBatch:
+    h, c = np.unique(np.concatenate(hashes), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+
+
 def counted(docs: DataFrame, hashes) -> DataFrame:
     """h: the hashes that hashes(part) gives twice or more over all texts; a written table."""
 
     def run(batches):
+        got, n = [], 0
         for batch in batches:
-            got = [hashes(part) for part in W.parts(batch.column(0))]
-            if got:
-                h, c = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+            for part in W.parts(batch.column(0)):
+                got.append(hashes(part))
+                n += len(got[-1])
+                if n >= TOGETHER:
+                    yield tallied(got)
+                    got, n = [], 0
+        if n:
+            yield tallied(got)
 
     rows = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
     return storage.written(rows.select("h"), "windows")
@@ -125,6 +137,12 @@ def repeated(docs: DataFrame, size: int, anchor: int) -> DataFrame:
     return storage.written(found.mapInArrow(factors, shape), "factors")
 
 
+def unchecked(texts: list[bytes]) -> pa.Array:
+    """An Arrow column of strings of these bytes, UTF-8 or not."""
+    got = pa.array(texts, pa.binary())
+    return pa.Array.from_buffers(pa.string(), len(got), got.buffers())
+
+
 def dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", size: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the other words, joined by one space) and spans (first and last word, exclusive, of each factor)."""
     storage.bounded_batches(docs.sparkSession)
@@ -159,7 +177,7 @@ def dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", size: int
                     kept.append(b" ".join([raw[a:b] for a, b in zip(part.first[which].tolist(), part.last[which].tolist(), strict=True)]))
                     spans.append(merged)
             arrow = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(gone), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, arrow)], ["doc_id", "n_words", "n_removed", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(gone), unchecked(kept), pa.array(spans, arrow)], ["doc_id", "n_words", "n_removed", "kept", "spans"])
 
     zero = F.lit(0).cast("long")
     shape = docs.select("doc_id").withColumns({"n_words": zero, "n_removed": zero, "kept": F.lit("x"), "spans": F.lit(None).cast("array<struct<first:long,last:long>>")}).schema

@@ -8,7 +8,7 @@ bound is below its k-th score; at equality it goes on, since a smaller id wins a
 best k of all partitions.
 
 Vectors that are null or hold nulls or non-finite components, and null ids, take no part; shorter vectors count as if
-filled up with zeros. Rows of one id are one vector (the smallest). With fewer than k others, all are returned.
+filled up with zeros. Components beyond LARGEST after scaling are an error, as scores are 64-bit. Rows of one id are one vector (the smallest). With fewer than k others, all are returned.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from sparkatlas.llm import storage
 
 SCALE = 64
 K = 20
+LARGEST = (1 << 26) - 1
 SHARD = 8192
 LEAF = 128
 BLOCK = 1 << 16
@@ -33,13 +34,15 @@ FEW = 1 << 20
 def whole(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """id and v, an array of whole numbers, for the vectors that take part; an id's rows are one."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
+    # with LARGEST and fewer, a score of 2 ** 10 components stays below 2 ** 63
+    whole_of = lambda c: F.when(F.abs(c) * SCALE <= LARGEST, F.floor(c * SCALE).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for whole scores")).cast("long"))
     good = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    v = F.transform(x, lambda c: F.floor(c * SCALE).cast("long"))
+    v = F.transform(x, whole_of)
     return vectors.where(F.col(ident).isNotNull() & F.col(vector).isNotNull() & good).select(F.col(ident).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def matrix(column) -> np.ndarray:
-    """Rows of an Arrow list column as float64, if products stay exact in it, else as whole numbers of any size."""
+    """Rows of an Arrow list column as float64, if products stay exact in it, else as 64-bit whole numbers."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lens = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
