@@ -11,23 +11,19 @@ from email.utils import parsedate_to_datetime
 
 
 def split_top_level(text: str, sep: str = ",") -> list[str]:
-    """Parts between separators outside of brackets and quotes, trimmed, without empty ones."""
-    out, depth, quote, part = [], 0, "", []
-    for c in text:
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-        elif c == sep and depth <= 0:
-            out.append("".join(part).strip())
-            part = []
+    """Parts between separators outside of parentheses and double quotes (a backslash escapes one), trimmed; empty ones stay but the last."""
+    out, depth, quoted, start = [], 0, False, 0
+    for i, c in enumerate(text):
+        if c == '"' and text[i - 1 : i] != "\\":
+            quoted = not quoted
+        elif quoted:
             continue
-        part.append(c)
-    return [x for x in [*out, "".join(part).strip()] if x]
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == sep and depth == 0:
+            out.append(text[start:i].strip())
+            start = i + 1
+    return [*out, text[start:].strip()] if start < len(text) else out
 
 
 def json_blocks(text: str) -> list[str]:
@@ -45,8 +41,8 @@ def json_blocks(text: str) -> list[str]:
 
 
 def extract_json(text: str) -> str:
-    """A fenced JSON block, any fenced block, or the first brace block of a model's answer."""
-    for fence in (r"```json\s*(.*?)```", r"```\s*(.*?)```"):
+    """A fenced JSON block, any fenced block (less the rest of the fence's line), or the first brace block of a model's answer."""
+    for fence in (r"```json(.*?)```", r"```[^\n]*\n(.*?)```", r"```(.*?)```"):
         if m := re.search(fence, text, re.DOTALL):
             return m[1].strip()
     return next(iter(json_blocks(text)), "")
@@ -64,12 +60,12 @@ def parse_summary(text: str) -> dict:
 
 
 def excluded(path: str, patterns: list[str]) -> bool:
-    """Whether a relative path matches a pattern as a whole or, for `**/` patterns, by its last name. `*` stops at `/`."""
+    """Whether a relative path matches a pattern as a whole, or its last name one less a leading `**/`. `*` stops at `/`."""
     def matches(name: str, pattern: str) -> bool:
         a, b = name.split("/"), pattern.replace("**", "*").split("/")
         return len(a) == len(b) and all(fnmatch.fnmatchcase(x, y) for x, y in zip(a, b, strict=True))
 
-    return any(matches(path, p) or p.startswith("**/") and matches(path.rsplit("/", 1)[-1], p[3:]) for p in patterns)
+    return any(matches(path, p) or matches(path.rsplit("/", 1)[-1], p.removeprefix("**/")) for p in patterns)
 
 
 def pack(sizes: list[int], most_items: int = 128, most_tokens: int = 100_000) -> list[int]:

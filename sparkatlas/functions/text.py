@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # File extensions and the languages they stand for, directories that name no module, the trigram threshold.
 LANGUAGES = {
     "go": "go", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript",
-    "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "dart": "dart",
+    "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "dart": "dart",
 }
 ALIASES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "rs": "rust", "kt": "kotlin", "kts": "kotlin"}
 PLAIN_DIRS = (".", "", "internal", "pkg", "src", "lib")
@@ -42,12 +42,19 @@ def normalize_language(tag: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv]), low), low)
 
 
+def clean_dirs(path: Column) -> Column:
+    """The folders of a path, without empty and `.` ones; `..` takes the one before away."""
+    dirs = F.filter(F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1), lambda d: ~d.isin("", "."))
+    up = lambda done: (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+    step = lambda done, d: F.when((d == "..") & up(done), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(d)))
+    return F.when(F.exists(dirs, lambda d: d == ".."), F.aggregate(dirs, F.array().cast("array<string>"), step)).otherwise(dirs)
+
+
 def infer_module(path: Column) -> Column:
     """The first directory that isn't a plain one, else the first directory, '' for a file at the root."""
-    dirs = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
-    named = F.filter(dirs, lambda d: ~d.isin(*PLAIN_DIRS))
-    first = F.coalesce(F.try_element_at(dirs, F.lit(1)), F.lit(""))
-    return F.coalesce(F.try_element_at(named, F.lit(1)), F.when(first == ".", "").otherwise(first))
+    dirs = clean_dirs(path)
+    named = F.try_element_at(F.filter(dirs, lambda d: ~d.isin(*PLAIN_DIRS)), F.lit(1))
+    return F.coalesce(named, F.when(path.startswith("/"), ""), F.try_element_at(dirs, F.lit(1)), F.lit(""))
 
 
 def first_line(text: Column) -> Column:
@@ -74,7 +81,7 @@ def embedding_text(prefix: Column, content: Column) -> Column:
 
 def truncate_bytes(text: Column, most: int) -> Column:
     cut = F.decode(F.substring(text.cast("binary"), 1, most), "UTF-8")
-    return F.when(F.octet_length(text) > most, F.concat(F.rtrim(cut), F.lit("..."))).otherwise(text)
+    return F.when(F.octet_length(text) > most, F.concat(cut, F.lit("..."))).otherwise(text)
 
 
 def trigrams(text: Column) -> Column:
@@ -107,7 +114,7 @@ def freshness(seconds: Column) -> Column:
 
 
 def sanitize_host(name: Column) -> Column:
-    return F.translate(name, "./ \t", "----")
+    return F.translate(name, ". \t", "---")
 
 
 def is_cpp_file(path: Column) -> Column:
@@ -120,3 +127,48 @@ def line_slice(text: Column, first: Column, last: Column) -> Column:
     n = F.size(lines)
     a, b = F.greatest(F.coalesce(first, F.lit(1)), F.lit(1)), F.least(F.coalesce(last, n), n)
     return F.when((a > n) | (b < a), F.when(a > n, text).otherwise(F.lit(""))).otherwise(F.array_join(F.slice(lines, a, F.greatest(b - a + 1, F.lit(0))), "\n"))
+
+
+def tenths(n: Column, of: int) -> Column:
+    """n / of to one place; halves that are exact go up."""
+    tie = (n * 4 % of == 0) & (n * 2 % of != 0)
+    return F.replace(F.format_number(n / of + F.when(tie, F.lit(1e-9)).otherwise(F.lit(0.0)), 1), F.lit(","), F.lit(""))
+
+
+def compact_number(n: Column) -> Column:
+    """Of a whole number."""
+    return F.when(n.isNull(), "0").when(n >= 1000000, F.concat(tenths(n, 1000000), F.lit("M"))).when(n >= 1000, F.concat(tenths(n, 1000), F.lit("K"))).otherwise(n.cast("string"))
+
+
+def compact_duration(ms: Column) -> Column:
+    ms = F.coalesce(ms, F.lit(0)).cast("long")
+    return F.when(ms == 0, "-").when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.concat(tenths(ms, 1000), F.lit("s"))).otherwise(F.concat(tenths(ms, 60000), F.lit("m")))
+
+
+def time_ago(seconds: Column) -> Column:
+    """Of the seconds since something; null is never."""
+    unit = lambda n, u: F.format_string(f"%d{u} ago", F.floor(seconds / n))
+    return F.when(seconds.isNull(), "never").when(seconds < 60, unit(1, "s")).when(seconds < 3600, unit(60, "m")).when(seconds < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+
+
+def rfc3339(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def json_strings(text: Column) -> Column:
+    """A JSON array of strings; what isn't one is empty."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def strip_generics(name: Column) -> Column:
+    return F.substring_index(name, "<", 1)
+
+
+def trim_quotes(name: Column) -> Column:
+    """An import's path without the quotes and brackets at both ends."""
+    return F.regexp_replace(name, "^[\"'`<>]+|[\"'`<>]+$", "")
+
+
+def answers(qualified: Column, path: Column, symbols: Column, files: Column) -> Column:
+    """Whether a hit is expected: its file is one of files, or its name holds one of symbols; case doesn't count."""
+    return F.exists(files, lambda f: F.lower(f) == F.lower(path)) | F.exists(symbols, lambda s: F.contains(F.lower(qualified), F.lower(s)))

@@ -9,20 +9,25 @@ from sparkatlas.functions import text as T
 from sparkatlas.plans.tables import written
 
 
-def resolve(raw: DataFrame, symbols: DataFrame) -> DataFrame:
+def resolve(raw: DataFrame, symbols: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Raw edges (source_qualified, target_name, kind, line, filepath, ord) with ids for both ends.
 
-    A source is a qualified name; a target is a qualified name, one without its leading *, or a short name (smallest id).
-    Edges without either end and self-edges go; of equal (source, target, kind) the first by ord stays.
+    A source is a qualified name; a target is a qualified name, one without one leading *, or a short name (smallest id);
+    names count within equal columns of scope, as the codebase. Edges without either end and self-edges go; of equal
+    (source, target, kind) the first by ord stays. Each distinct name is resolved once, so that a name with a large part
+    of all edges isn't moved in the course of it.
     """
-    whole = symbols.groupBy("qualified").agg(F.max("id").alias("id"))
-    short = symbols.groupBy(T.short_name(F.col("qualified")).alias("name")).agg(F.min("id").alias("id"))
-    named = lambda t, key, out: t.select(F.col(t.columns[0]).alias(key), F.col("id").alias(out))
-    edges = raw.withColumn("_bare", F.regexp_replace("target_name", r"^\*+", "")).join(named(whole, "source_qualified", "source_id"), "source_qualified")
-    edges = edges.join(named(whole, "target_name", "_one"), "target_name", "left").join(named(whole, "_bare", "_two"), "_bare", "left").join(named(short, "target_name", "_three"), "target_name", "left")
-    edges = edges.withColumn("target_id", F.coalesce("_one", "_two", "_three")).where("target_id IS NOT NULL AND source_id <> target_id")
-    first = edges.groupBy("source_id", "target_id", "kind").agg(F.min(F.struct("ord", "filepath", "line")).alias("f"))
-    return first.select("source_id", "target_id", "kind", "f.filepath", "f.line")
+    scope = list(scope)
+    whole = symbols.groupBy(*scope, F.col("qualified").alias("name")).agg(F.max("id").alias("id"))
+    short = symbols.groupBy(*scope, T.short_name(F.col("qualified")).alias("name")).agg(F.min("id").alias("id"))
+    names = raw.select(*scope, F.col("target_name").alias("name")).distinct().withColumn("bare", F.regexp_replace("name", r"^\*", ""))
+    found = names.join(whole.withColumnRenamed("id", "one"), [*scope, "name"], "left")
+    found = found.join(whole.select(*scope, F.col("name").alias("bare"), F.col("id").alias("two")), [*scope, "bare"], "left").join(short.withColumnRenamed("id", "three"), [*scope, "name"], "left")
+    found = found.select(*scope, F.col("name").alias("target_name"), F.coalesce("one", "two", "three").alias("target_id")).where("target_id IS NOT NULL")
+    edges = raw.join(found, [*scope, "target_name"]).join(whole.select(*scope, F.col("name").alias("source_qualified"), F.col("id").alias("source_id")), [*scope, "source_qualified"])
+    edges = edges.where("source_id <> target_id")
+    first = edges.groupBy(*scope, "source_id", "target_id", "kind").agg(F.min(F.struct("ord", "filepath", "line")).alias("f"))
+    return first.select(*scope, "source_id", "target_id", "kind", "f.filepath", "f.line")
 
 
 def references(edges: DataFrame, symbols: DataFrame, targets: DataFrame, kind: str = "any", limit: int = 20) -> DataFrame:
@@ -40,19 +45,33 @@ def dependents(edges: DataFrame, symbols: DataFrame, filepath: str, limit: int =
     return edges.join(target, "target_id", "left_semi").join(source, "source_id").select("dependent").distinct().orderBy("dependent").limit(limit)
 
 
+def named_hierarchy(symbols: DataFrame, edges: DataFrame, name: str, direction: str = "both", depth: int = 5) -> DataFrame:
+    """id, qualified, kind, depth and direction around the class or struct whose name is most like `name` (or is it)."""
+    depth = depth if depth > 0 else 5
+    own = symbols.where(F.col("kind").isin("class", "struct"))
+    like = T.similarity(T.trigrams(F.col("qualified")), T.trigrams(F.lit(name)))
+    seed = own.where((like >= T.TRIGRAM_THRESHOLD) | (T.short_name(F.col("qualified")) == name)).orderBy(like.desc(), "id").limit(1).select("id").collect()
+    if not seed:
+        return symbols.select("id", "qualified", "kind", F.lit(0).alias("depth"), F.lit("self").alias("direction")).limit(0)
+    got = hierarchy(edges.where("kind = 'inherits'").select(F.col("source_id").alias("child"), F.col("target_id").alias("parent")), seed[0]["id"], direction or "both", depth)
+    return got.join(symbols.select("id", "qualified", "kind"), "id").select("id", "qualified", "kind", "depth", "direction")
+
+
 def hierarchy(edges: DataFrame, seed, direction: str = "both", depth: int = 5) -> DataFrame:
-    """id and least depth of what child -> parent edges (child, parent) reach from one id, level by level.
+    """id, least depth and direction (self, parent, child) of what child -> parent edges (child, parent) reach from one id, level by level.
 
-    Each level joins only what is new, so that paths don't multiply, and is written, so that plans don't either.
+    Each level joins only what is new, so that paths don't multiply, and is written, so that plans don't either; the steps
+    are written once. Of two directions at equal depth parent stays.
     """
-    up = edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
-    down = edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
-    steps = {"parents": up, "children": down, "both": up.unionByName(down)}[direction].where("src <> dst").distinct()
-    seen = edges.sparkSession.createDataFrame([(seed, 0)], f"id {edges.schema['child'].dataType.simpleString()}, depth int")
+    up = edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit("parent").alias("direction"))
+    down = edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit("child").alias("direction"))
+    steps = {"parents": up, "children": down, "both": up.unionByName(down)}[direction].where("src <> dst")
+    steps = written(steps, "hierarchy-steps")
+    seen = edges.sparkSession.createDataFrame([(seed, 0, "self")], f"id {edges.schema['child'].dataType.simpleString()}, depth int, direction string")
     front = seen
     for level in range(1, depth + 1):
-        new = steps.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        front = written(new.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)), "hierarchy")
+        new = steps.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.max("direction").alias("direction"))
+        front = written(new.join(seen, "id", "left_anti").select("id", F.lit(level).alias("depth"), "direction"), "hierarchy")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkatlas.functions import text as T
@@ -43,24 +43,89 @@ def codebases(files: DataFrame) -> DataFrame:
     return files.groupBy("codebase_id").agg(F.countDistinct("filepath").alias("files"), F.count("*").alias("symbols"))
 
 
-def source_hash(symbols: DataFrame, key: str) -> DataFrame:
-    """A hash of a group's sorted files and symbols, by which a stored summary is known to be valid."""
+def key_symbols(symbols: DataFrame, key: str, limit: int = 50) -> DataFrame:
+    """The first classes, structs and functions of each group by kind and qualified name."""
+    own = symbols.where(F.col("kind").isin("class", "struct", "function"))
+    order = Window.partitionBy(key).orderBy("kind", "qualified", "id")
+    return own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def source_hash(symbols: DataFrame, key: str, limit: int = 50) -> DataFrame:
+    """A hash of a group's sorted files and key symbols, each ended by NUL, by which a stored summary is known to be valid."""
     nul = "\0"
-    files = F.array_join(F.array_sort(F.collect_set("filepath")), nul)
-    names = F.array_join(F.array_sort(F.collect_list(F.concat("qualified", "kind"))), nul)
-    return symbols.groupBy(key).agg(F.substring(F.sha2(F.concat(files, F.lit(nul), names).cast("binary"), 256), 1, 32).alias("source_hash"))
+    files = symbols.select(key, "filepath").distinct().groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("filepath")), lambda f: F.concat(f, F.lit(nul))), "").alias("files"))
+    each = F.array_sort(F.collect_list(F.struct("rank", "qualified", "kind")))
+    names = key_symbols(symbols, key, limit).groupBy(key).agg(F.array_join(F.transform(each, lambda x: F.concat(x["qualified"], x["kind"], F.lit(nul))), "").alias("names"))
+    both = F.concat("files", F.coalesce("names", F.lit("")))
+    return files.join(names, key, "left").select(key, F.substring(F.sha2(both.cast("binary"), 256), 1, 32).alias("source_hash"))
 
 
 def valid_summaries(summaries: DataFrame, hashes: DataFrame, key: str) -> DataFrame:
     return summaries.join(hashes.withColumnRenamed("source_hash", "_now"), key).where("source_hash = _now").drop("_now")
 
 
-def digest(stats: DataFrame, top: DataFrame) -> DataFrame:
-    """One markdown text: a table row for each module and a list of top symbols (both are top-k reports)."""
-    table = stats.select(F.format_string("| %s | %d | %d |", "module", "file_count", "estimated_loc").alias("s")).agg(F.array_join(F.array_sort(F.collect_list("s")), "\n").alias("t"))
-    names = top.select(F.format_string("- %s (%d)", "qualified", "incoming_refs").alias("s"), (-F.col("incoming_refs")).alias("o"), "id")
-    names = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "id", "s"))), lambda x: x["s"]), "\n").alias("n"))
-    return table.join(names).select(F.concat(F.lit("# Modules\n"), "t", F.lit("\n# Symbols\n"), "n").alias("markdown"))
+def digest(title: str, stats: DataFrame, top: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """One markdown text of a codebase: its modules, their descriptions, key symbols, folders, dependencies.
+
+    stats: module_stats rows; top: symbols by importance (qualified, kind, module, signature, incoming_refs, id);
+    summaries: scope, summary, dependencies (JSON). A report of a line for each module, as its kind is.
+    """
+    joined = lambda df, order, line: df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("s")))), lambda x: x["s"]), "").alias("t"))
+    n = [F.col(c).cast("string") for c in ("class_count", "function_count", "struct_count", "file_count", "estimated_loc")]
+    row = F.concat(F.lit("| "), "module", *[x for c in n for x in (F.lit(" | "), c)], F.lit(" |\n"))
+    parts = [(joined(stats, ["module"], row), "## Modules\n\n| Module | Classes | Functions | Structs | Files | ~LOC |\n|--------|---------|-----------|---------|-------|------|\n", "\n")]
+    if summaries is not None:
+        line = F.concat(F.lit("**"), "scope", F.lit("**: "), T.truncate_bytes(F.col("summary"), 300), F.lit("\n\n"))
+        parts.append((joined(summaries, ["scope"], line), "### Module Descriptions\n\n", ""))
+    some = lambda c, before, end: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(before), c, F.lit(end))).otherwise("")
+    line = F.concat(F.lit("- **"), "qualified", F.lit("** ("), "kind", F.lit(")"), some("module", " \u2014 module: ", ""), some("signature", "\n  `", "`"), F.lit("\n"))
+    parts.append((joined(top.withColumn("o", -F.col("incoming_refs")), ["o", "id"], line), "## Key Symbols\n\nMost-referenced symbols in the codebase:\n\n", "\n"))
+    parts.append((joined(stats, ["module"], F.concat("module", F.lit("/  ("), F.col("file_count").cast("string"), F.lit(" files)\n"))), "## File Structure\n\n```\n", "```\n\n"))
+    if summaries is not None:
+        on = F.array_join(T.json_strings(F.col("dependencies")), ", ")
+        parts.append((joined(summaries.where(on != ""), ["scope"], F.concat(F.lit("- **"), "scope", F.lit("** depends on: "), on, F.lit("\n"))), "## Module Dependencies\n\n", "\n"))
+    every = None
+    for k, (df, head, end) in enumerate(parts):  # one row each
+        one = df.select(F.lit(k).alias("k"), F.when(F.col("t") != "", F.concat(F.lit(head), "t", F.lit(end))).otherwise("").alias("t"))
+        every = one if every is None else every.unionByName(one)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "")
+    return every.agg(F.concat(F.lit(f"# {title}\n\n"), text).alias("markdown"))
+
+
+def codebase_stats(tables: dict[str, DataFrame], at: str = "indexed_at") -> DataFrame:
+    """Counts of each table by codebase, and the last time of file_state; codebases without rows have zeros."""
+    every = None
+    for name, df in tables.items():
+        seen = F.max(at) if at in df.columns else F.lit(None).cast("timestamp")
+        one = df.groupBy("codebase_id").agg(F.count("*").alias("n"), seen.alias("at")).withColumn("name", F.lit(name))
+        every = one if every is None else every.unionByName(one)
+    count = lambda name: F.coalesce(F.sum(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).cast("long").alias(name)
+    return every.groupBy("codebase_id").agg(*map(count, tables), F.max("at").alias("last_indexed"))
+
+
+def index_age(stats: DataFrame, now, at: str = "last_indexed") -> DataFrame:
+    """stats with the seconds since the last time, and the class of that age."""
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col(at))
+    return stats.withColumn("age_seconds", age).withColumn("freshness", T.freshness(age))
+
+
+def tallies(results: DataFrame, by: str = "request_id", status: str = "status") -> DataFrame:
+    """Counts of files indexed, unchanged and failed in each request."""
+    return results.groupBy(by).agg(*[F.count_if(F.col(status) == s).alias(s) for s in ("indexed", "unchanged", "failed")], F.count("*").alias("total"))
+
+
+def counters(log: DataFrame, label: str, value: str | None = None) -> DataFrame:
+    return log.groupBy(label).agg((F.sum(value) if value else F.count("*")).alias("total"))
+
+
+def gauges(log: DataFrame, label: str, value: str, at: str) -> DataFrame:
+    """The last value of each label."""
+    return log.groupBy(label).agg(F.max_by(value, at).alias("value"))
+
+
+def exposition(counts: DataFrame, name: str, label: str, value: str = "total") -> DataFrame:
+    """Lines of the text format that metric collectors read."""
+    return counts.select(F.concat(F.lit(f'{name}{{{label}="'), F.regexp_replace(F.col(label).cast("string"), r'(["\\])', r"\\$1"), F.lit('"} '), F.col(value).cast("string")).alias("line"))
 
 
 def histogram(log: DataFrame, label: str, value: str, buckets: list[float]) -> DataFrame:

@@ -68,12 +68,12 @@ def chunk_ids(spark, d):
     return files(spark, d).select("doc_id", T.short_id(F.col("filepath"), F.concat(F.lit("mod.f"), F.col("doc_id").cast("string")), F.col("doc_id") % 50).alias("id"))
 
 
-PATHS = "SELECT doc_id, ['', 'src/', './', 'internal/a/', 'pkg/lib/', 'x/src/y/'][CAST(doc_id % 6 + 1 AS INT)] || source || ['', '/b'][CAST(doc_id % 2 + 1 AS INT)] || '/f.' || ['py', 'GO', 'tsx', 'rs', 'kts', 'txt', 'hpp', 'dart'][CAST(doc_id % 8 + 1 AS INT)] AS path FROM documents"
+PATHS = "SELECT doc_id, ['', 'src/', './', 'internal/a/', 'pkg/lib/', 'x/src/y/'][CAST(doc_id % 6 + 1 AS INT)] || source || ['', '/b'][CAST(doc_id % 2 + 1 AS INT)] || '/f.' || ['py', 'GO', 'tsx', 'rs', 'kts', 'txt', 'hpp', 'dart', 'ts', 'js', 'jsx', 'c', 'h', 'cpp', 'cc', 'kt', 'swift', 'cxx', 'md'][CAST(doc_id % 19 + 1 AS INT)] AS path FROM documents"
 
 
 def paths(spark, d):
     pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("doc_id") % n + 1).cast("int"))
-    path = F.concat(pick(6, "", "src/", "./", "internal/a/", "pkg/lib/", "x/src/y/"), "source", pick(2, "", "/b"), F.lit("/f."), pick(8, "py", "GO", "tsx", "rs", "kts", "txt", "hpp", "dart"))
+    path = F.concat(pick(6, "", "src/", "./", "internal/a/", "pkg/lib/", "x/src/y/"), "source", pick(2, "", "/b"), F.lit("/f."), pick(19, "py", "GO", "tsx", "rs", "kts", "txt", "hpp", "dart", "ts", "js", "jsx", "c", "h", "cpp", "cc", "kt", "swift", "cxx", "md"))
     return table(spark, d, "documents").select("doc_id", path.alias("path"))
 
 
@@ -82,7 +82,7 @@ def infer_module(spark, d):
     return paths(spark, d).select("doc_id", T.infer_module(F.col("path")).alias("module"))
 
 
-@query(f"WITH p AS ({PATHS}) SELECT doc_id, CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'tsx' THEN 'typescript' WHEN 'rs' THEN 'rust' WHEN 'kts' THEN 'kotlin' WHEN 'hpp' THEN 'cpp' WHEN 'dart' THEN 'dart' ELSE '' END AS language FROM p")
+@query(f"WITH p AS ({PATHS}) SELECT doc_id, CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'tsx' THEN 'typescript' WHEN 'rs' THEN 'rust' WHEN 'kts' THEN 'kotlin' WHEN 'hpp' THEN 'cpp' WHEN 'dart' THEN 'dart' WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'c' THEN 'c' WHEN 'h' THEN 'c' WHEN 'cpp' THEN 'cpp' WHEN 'cc' THEN 'cpp' WHEN 'kt' THEN 'kotlin' WHEN 'swift' THEN 'swift' ELSE '' END AS language FROM p")
 def detect_language(spark, d):
     return paths(spark, d).select("doc_id", T.detect_language(F.col("path")).alias("language"))
 
@@ -105,12 +105,12 @@ def line_windows(spark, d):
     return ingest.windows(docs, 20, 5, "text").select("doc_id", "line_start", "line_end", T.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query(f"""WITH f AS ({FILES}) SELECT doc_id, '// File: ' || filepath || chr(10) || '// Module: ' || split_part(filepath, '/', 2) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '// Class: C' || doc_id WHEN doc_id % 3 = 0 THEN chr(10) || '// Parent: P' ELSE '' END || chr(10) || '// Kind: method' || chr(10) || chr(10) || 'x' AS embedded FROM f""")
+@query(f"""WITH f AS ({FILES}) SELECT doc_id, '// File: ' || filepath || chr(10) || '// Module: ' || split_part(filepath, '/', 2) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '// Class: C' || doc_id WHEN doc_id % 3 = 0 THEN chr(10) || '// Parent: P' ELSE '' END || chr(10) || '// Kind: method' || chr(10) || chr(10) || content AS embedded FROM f""")
 def context_prefix(spark, d):
     f = files(spark, d)
     i = F.col("doc_id")
     prefix = T.context_prefix(F.col("filepath"), T.infer_module(F.col("filepath")), F.when(i % 2 == 0, F.concat(F.lit("C"), i.cast("string"))), F.when(i % 3 == 0, "P"), F.lit("method"))
-    return f.select("doc_id", T.embedding_text(prefix, F.lit("x")).alias("embedded"))
+    return f.select("doc_id", T.embedding_text(prefix, F.col("content")).alias("embedded"))
 
 
 @query(f"WITH f AS ({FILES}) SELECT codebase_id, filepath, sha256(content) content_hash FROM f WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
@@ -141,9 +141,9 @@ def stale_cleanup(spark, d):
     return ingest.cleaned(s, touched, touched.where(F.substring("id", 2, 20).cast("long") % 2 == 0)).select("id", "filepath")
 
 
-@query(f"WITH e AS ({EDGES}), s AS ({SYMBOLS}) SELECT kind, count(*) n FROM e WHERE source_id IN (SELECT id FROM s WHERE kind <> 'struct') AND target_id IN (SELECT id FROM s WHERE kind <> 'struct') GROUP BY kind")
+@query(f"WITH e AS ({EDGES}), s AS ({SYMBOLS}) SELECT * FROM e WHERE source_id IN (SELECT id FROM s WHERE kind <> 'struct') AND target_id IN (SELECT id FROM s WHERE kind <> 'struct')")
 def cascade_delete(spark, d):
-    return ingest.cascaded(edges(spark, d), symbols(spark, d).where("kind <> 'struct'")).groupBy("kind").agg(F.count("*").alias("n"))
+    return ingest.cascaded(edges(spark, d), symbols(spark, d).where("kind <> 'struct'"))
 
 
 STATS = f"""SELECT codebase_id, module, count(*) FILTER (kind = 'class') class_count, count(*) FILTER (kind IN ('function', 'method')) function_count, count(*) FILTER (kind = 'struct') struct_count,
@@ -204,7 +204,7 @@ NAMED = "SELECT 'S' || s_suppkey qualified, 's' || s_suppkey id FROM supplier UN
 
 
 @query(f"""WITH raw AS ({RAW}), sym AS ({NAMED}), sh AS (SELECT split_part(qualified, '.', -1) AS name, min(id) id FROM sym GROUP BY 1),
-r AS (SELECT s.id source_id, coalesce(a.id, b.id, c.id) target_id, kind, line, ord FROM raw JOIN sym s ON s.qualified = source_qualified LEFT JOIN sym a ON a.qualified = target_name LEFT JOIN sym b ON b.qualified = ltrim(target_name, '*') LEFT JOIN sh c ON c.name = target_name)
+r AS (SELECT s.id source_id, coalesce(a.id, b.id, c.id) target_id, kind, line, ord FROM raw JOIN sym s ON s.qualified = source_qualified LEFT JOIN sym a ON a.qualified = target_name LEFT JOIN sym b ON b.qualified = CASE WHEN starts_with(target_name, '*') THEN substr(target_name, 2) ELSE target_name END LEFT JOIN sh c ON c.name = target_name)
 SELECT source_id, target_id, kind, arg_min(line, ord) line FROM r WHERE target_id IS NOT NULL AND source_id <> target_id GROUP BY ALL""")
 def resolve_relationships(spark, d):
     star = F.when(F.col("l_linenumber") % 3 == 0, "*").otherwise("")
@@ -216,14 +216,14 @@ def resolve_relationships(spark, d):
     return graph.resolve(raw, sym).select("source_id", "target_id", "kind", "line")
 
 
-FUZZY = """WITH RECURSIVE q AS (SELECT 'almond antique' AS s), t AS (SELECT {id} id, {name} qualified, string_split(trim(regexp_replace(lower({name}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') w FROM {table}),
+FUZZY = """WITH t AS (SELECT {id} id, {name} qualified, string_split(trim(regexp_replace(lower({name}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') w FROM {table}),
 g AS (SELECT id, qualified, list_distinct(flatten([[substr('  ' || x || ' ', i, 3) FOR i IN range(1, length(x) + 2)] FOR x IN w])) g FROM t),
 h AS (SELECT list_distinct(flatten([[substr('  ' || x || ' ', i, 3) FOR i IN range(1, length(x) + 2)] FOR x IN string_split({q}, ' ')])) h),
 s AS (SELECT id, qualified, len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))) similarity FROM g, h) """
 PART_FUZZY = FUZZY.format(id="p_partkey", name="p_name", table="part", q="'part blue 12'")
 
 
-@query(PART_FUZZY + "SELECT id, qualified, round(similarity, 6) similarity FROM s WHERE similarity >= 0.3 ORDER BY 3 DESC, 2, 1 LIMIT 5")
+@query(PART_FUZZY + "SELECT id, qualified, round(similarity, 6) similarity FROM s WHERE s.similarity >= 0.3 ORDER BY s.similarity DESC, 2, 1 LIMIT 5")
 def fuzzy_lookup(spark, d):
     sym = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("qualified"))
     return retrieval.fuzzy(sym, "part blue 12", names=("qualified",)).select("id", "qualified", "similarity")
@@ -247,11 +247,11 @@ TREE = "SELECT p_partkey child, p_partkey // 3 parent FROM part"
 
 
 def hierarchy_sql(steps: str, depth: int) -> str:
-    return f"""WITH RECURSIVE t AS ({TREE}), st AS ({steps}), h AS (SELECT CAST(14 AS BIGINT) id, 0 depth UNION ALL SELECT st.dst, h.depth + 1 FROM h JOIN st ON st.src = h.id WHERE h.depth < {depth} AND st.dst <> st.src)
-SELECT id, min(depth) AS depth FROM h GROUP BY id"""
+    return f"""WITH RECURSIVE t AS ({TREE}), st AS ({steps}), h AS (SELECT CAST(14 AS BIGINT) id, 0 depth, 'self' direction UNION ALL SELECT st.dst, h.depth + 1, st.direction FROM h JOIN st ON st.src = h.id WHERE h.depth < {depth} AND st.dst <> st.src)
+SELECT id, min(depth) AS depth, arg_min(direction, depth * 2 + CASE direction WHEN 'child' THEN 1 ELSE 0 END) AS direction FROM h GROUP BY id"""
 
 
-UP, DOWN = "SELECT child src, parent dst FROM t", "SELECT parent src, child dst FROM t"
+UP, DOWN = "SELECT child src, parent dst, 'parent' direction FROM t", "SELECT parent src, child dst, 'child' direction FROM t"
 
 
 def tree(spark, d):
@@ -294,39 +294,39 @@ def wanted(spark, d) -> list[float]:
     return table(spark, d, "embeddings").orderBy("vec_id").limit(1).collect()[0]["embedding"]
 
 
-DENSE = "SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 6) score FROM embeddings"
+DENSE = "SELECT *, round(exact, 6) score FROM (SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 12) exact FROM embeddings)"
 
 
-@query(f"SELECT vec_id, score FROM ({DENSE}) ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"SELECT vec_id, score FROM ({DENSE}) ORDER BY exact DESC, vec_id LIMIT 10")
 def dense_topk(spark, d):
     return retrieval.dense_topk(table(spark, d, "embeddings"), wanted(spark, d)).select("vec_id", "score")
 
 
-@query(f"SELECT vec_id, score FROM ({DENSE}) WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 25")
+@query(f"SELECT vec_id, score FROM ({DENSE}) WHERE label = 3 ORDER BY exact DESC, vec_id LIMIT 25")
 def dense_topk_filtered(spark, d):
     return retrieval.dense_topk(table(spark, d, "embeddings"), wanted(spark, d), retrieval.limit_of(99), label=3).select("vec_id", "score")
 
 
 SPARSE = """WITH w AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')) term FROM documents),
 h AS (SELECT doc_id, term, count(*) tf FROM w WHERE term IN ('the', 'edin', 'that', 'der') GROUP BY ALL), f AS (SELECT term, count(*) df FROM h GROUP BY 1),
-sp AS (SELECT doc_id, round(sum(tf * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))), 6) score FROM h JOIN f USING (term) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) """
+sp AS (SELECT *, round(exact, 6) score FROM (SELECT doc_id, round(sum(tf * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5))), 12) exact FROM h JOIN f USING (term) GROUP BY 1) ORDER BY exact DESC, 1 LIMIT 20) """
 TERMS = ["the", "edin", "that", "der"]
 
 
-@query(SPARSE + "SELECT * FROM sp ORDER BY score DESC, doc_id LIMIT 10")
+@query(SPARSE + "SELECT doc_id, score FROM sp ORDER BY exact DESC, doc_id LIMIT 10")
 def sparse_topk(spark, d):
     return retrieval.sparse_topk(table(spark, d, "documents"), TERMS, 10)
 
 
-@query(SPARSE + f""", de AS (SELECT vec_id doc_id, score FROM ({DENSE}) ORDER BY score DESC, vec_id LIMIT 20),
+@query(SPARSE + f""", de AS (SELECT vec_id doc_id, exact, score FROM ({DENSE}) ORDER BY exact DESC, vec_id LIMIT 20),
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) r FROM sp UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) FROM de)
-SELECT doc_id, round(sum(1.0 / (60 + r)), 6) score FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+SELECT doc_id, round(exact, 6) score FROM (SELECT doc_id, round(sum(1.0 / (60 + r)), 12) exact FROM r GROUP BY 1) ORDER BY exact DESC, 1 LIMIT 10""")
 def hybrid_rrf(spark, d):
     dense = retrieval.dense_topk(table(spark, d, "embeddings"), wanted(spark, d), 20).select(F.col("vec_id").alias("doc_id"), "score")
     return retrieval.rrf([retrieval.sparse_topk(table(spark, d, "documents"), TERMS, 20), dense], 10, "doc_id")
 
 
-@query(f"SELECT vec_id, CAST(vec_id % 7 AS DOUBLE) score FROM (SELECT * FROM ({DENSE}) ORDER BY score DESC, vec_id LIMIT 20) ORDER BY 2 DESC, 1 LIMIT 5")
+@query(f"SELECT vec_id, CAST(vec_id % 7 AS DOUBLE) score FROM (SELECT * FROM ({DENSE}) ORDER BY exact DESC, vec_id LIMIT 20) ORDER BY 2 DESC, 1 LIMIT 5")
 def rerank_overlap(spark, d):
     hits = retrieval.dense_topk(table(spark, d, "embeddings"), wanted(spark, d), 20).select("vec_id", "score")
     return retrieval.rerank(hits, (F.col("vec_id") % 7).cast("double"), 5, "vec_id")
@@ -402,16 +402,22 @@ def freshness_class(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", T.freshness(F.round(F.col("s_acctbal") * 20).cast("long")).alias("freshness"))
 
 
-@query(f"""WITH m AS (SELECT module, CAST(sum(file_count) AS BIGINT) f, CAST(sum(estimated_loc) AS BIGINT) l FROM ({STATS}) GROUP BY 1), t AS (SELECT i.id, qualified, incoming_refs FROM ({IMPORTANCE}) i JOIN ({SYMBOLS}) s USING (id) ORDER BY incoming_refs DESC, i.id LIMIT 20)
-SELECT '# Modules' || chr(10) || (SELECT string_agg(x, chr(10) ORDER BY x) FROM (SELECT '| ' || module || ' | ' || f || ' | ' || l || ' |' x FROM m)) || chr(10) || '# Symbols' || chr(10) || (SELECT string_agg('- ' || qualified || ' (' || incoming_refs || ')', chr(10) ORDER BY incoming_refs DESC, id) FROM t) markdown""")
+@query(f"""WITH m AS (SELECT * FROM ({STATS}) WHERE codebase_id = 'Brand#11'), t AS (SELECT i.id, s.qualified, s.kind, s.module, incoming_refs FROM ({IMPORTANCE}) i JOIN ({SYMBOLS}) s USING (id) WHERE codebase_id = 'Brand#11' ORDER BY incoming_refs DESC, i.id LIMIT 20),
+a AS (SELECT string_agg('| ' || module || ' | ' || class_count || ' | ' || function_count || ' | ' || struct_count || ' | ' || file_count || ' | ' || estimated_loc || ' |' || chr(10), '' ORDER BY module) a, string_agg(module || '/  (' || file_count || ' files)' || chr(10), '' ORDER BY module) c FROM m),
+b AS (SELECT string_agg('- **' || qualified || '** (' || kind || ') — module: ' || module || chr(10), '' ORDER BY incoming_refs DESC, id) b FROM t)
+SELECT '# Brand#11' || repeat(chr(10), 2) || '## Modules' || repeat(chr(10), 2) || '| Module | Classes | Functions | Structs | Files | ~LOC |' || chr(10) || '|--------|---------|-----------|---------|-------|------|' || chr(10) || a || chr(10)
+|| '## Key Symbols' || repeat(chr(10), 2) || 'Most-referenced symbols in the codebase:' || repeat(chr(10), 2) || b || chr(10) || '## File Structure' || repeat(chr(10), 2) || '```' || chr(10) || c || '```' || repeat(chr(10), 2) AS markdown FROM a, b""")
 def digest_markdown(spark, d):
-    s = symbols(spark, d)
-    stats = reports.module_stats(s).groupBy("module").agg(F.sum("file_count").alias("file_count"), F.sum("estimated_loc").alias("estimated_loc"))
-    top = reports.importance(s, edges(spark, d)).join(s.select("id", "qualified"), "id").orderBy(F.desc("incoming_refs"), "id").limit(20)
-    return reports.digest(stats, top)
+    s = symbols(spark, d).where("codebase_id = 'Brand#11'")
+    rank = reports.importance(s, edges(spark, d)).orderBy(F.desc("incoming_refs"), "id").limit(20)
+    top = s.join(F.broadcast(rank), "id").withColumn("signature", F.lit(""))  # 20 rows
+    return reports.digest("Brand#11", reports.module_stats(s), top)
 
 
-@query(f"""SELECT module, substr(sha256(string_agg(DISTINCT filepath, chr(0) ORDER BY filepath) || chr(0) || string_agg(qualified || kind, chr(0) ORDER BY qualified || kind)), 1, 32) source_hash FROM ({SYMBOLS}) GROUP BY 1""")
+@query(f"""WITH s AS ({SYMBOLS}), f AS (SELECT module, string_agg(filepath || chr(0), '' ORDER BY filepath) f FROM (SELECT DISTINCT module, filepath FROM s) GROUP BY 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY kind, qualified, id) r FROM s WHERE kind IN ('class', 'struct', 'function')),
+n AS (SELECT module, string_agg(qualified || kind || chr(0), '' ORDER BY r) n FROM k WHERE r <= 50 GROUP BY 1)
+SELECT module, substr(sha256(f || coalesce(n, '')), 1, 32) source_hash FROM f LEFT JOIN n USING (module)""")
 def summary_source_hash(spark, d):
     return reports.source_hash(symbols(spark, d), "module")
 

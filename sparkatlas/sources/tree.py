@@ -1,8 +1,9 @@
-"""File trees as tables, upload batches, and the symbols and raw edges of Python files."""
+"""File trees as tables, upload batches, and the symbols, raw edges and structural hashes of source files."""
 
 from __future__ import annotations
 
 import ast
+import hashlib
 import os
 
 import pandas as pd
@@ -11,10 +12,19 @@ from pyspark.sql import functions as F
 
 from sparkatlas.functions import text as T
 from sparkatlas.functions.scan import excluded
+from sparkatlas.sources.code import RULES, Code
 
 FILE = "codebase_id string, filepath string, content string"
-SYMBOL = "codebase_id string, filepath string, name string, qualified string, kind string, line_start int, line_end int, signature string, doc_comment string, content string"
-EDGE = "codebase_id string, filepath string, source_qualified string, target_name string, kind string, line int"
+SYMBOL = "codebase_id string, filepath string, language string, name string, qualified string, kind string, line_start int, line_end int, signature string, doc_comment string, parent_class string, content string"
+EDGE = "codebase_id string, filepath string, source_qualified string, target_name string, kind string, line int, ord long"
+#: An upload batch is full at so many files or bytes.
+BATCH_FILES, BATCH_BYTES = 64, 4 << 20
+
+# Python names that are no targets of edges.
+PYTHON_FUNCS = frozenset("""print len range type int str float bool list dict set tuple isinstance issubclass hasattr getattr setattr delattr open input repr id abs min max sum
+sorted reversed enumerate zip map filter super property staticmethod classmethod iter next hash callable vars dir globals locals format chr ord hex oct bin round pow divmod any all breakpoint""".split())
+PYTHON_TYPES = frozenset("""int str float bool bytes bytearray list dict set tuple frozenset None object type complex range memoryview Any Optional Union List Dict
+Set Tuple Sequence Mapping Iterable Iterator Generator Callable Type ClassVar Final Literal""".split())
 
 
 def listed(root: str, exclude: list[str]):
@@ -25,11 +35,42 @@ def listed(root: str, exclude: list[str]):
         yield from (rel(n) for n in sorted(names) if not excluded(rel(n), exclude))
 
 
+def wanted(paths: DataFrame, languages: list[str] = ()) -> DataFrame:
+    """The rows whose filepath is of a known language, of these (aliases count) if any are given."""
+    language = T.detect_language(F.col("filepath"))
+    return paths.where(F.array_contains(F.transform(F.array(*map(F.lit, languages)), T.normalize_language), language) & (language != "") if languages else language != "")
+
+
+def languages_of(paths: DataFrame, skip: str = r"(^|/)(vendor|node_modules|third_party|\.git)/") -> DataFrame:
+    """The languages of a tree's files outside of foreign folders."""
+    return wanted(paths.where(~F.col("filepath").rlike(skip))).select(T.detect_language(F.col("filepath")).alias("language")).distinct()
+
+
+def upload_batches(files: DataFrame, key: str = "codebase_id") -> DataFrame:
+    """files with batch: in the order of their paths, a batch of a key ends with the file that fills it."""
+    rows = files.withColumn("_bytes", F.octet_length("content"))
+    names = files.columns
+
+    def run(frames):
+        now, batch, n, size = object(), 0, 0, 0
+        for frame in frames:
+            out = []
+            for k, length in zip(frame[key], frame["_bytes"], strict=True):
+                if k != now:
+                    now, batch, n, size = k, 0, 0, 0
+                out.append(batch)
+                n, size = n + 1, size + int(length or 0)
+                if n >= BATCH_FILES or size >= BATCH_BYTES:
+                    batch, n, size = batch + 1, 0, 0
+            yield frame.assign(batch=out)[[*names, "batch"]]
+
+    return rows.repartition(key).sortWithinPartitions(key, "filepath").mapInPandas(run, files.withColumn("batch", F.lit(0).cast("long")).schema)
+
+
 def files(spark: SparkSession, root: str, codebase: str, exclude: list[str] = (), languages: list[str] = ()) -> DataFrame:
     """The tree's files of known languages; paths are listed by the driver, contents read by the executors (root must be shared)."""
     paths = spark.createDataFrame([(codebase, p) for p in listed(root, list(exclude))], "codebase_id string, filepath string")
-    language = T.detect_language(F.col("filepath"))
-    paths = paths.where(language.isin(*languages) if languages else language != "")
+    paths = wanted(paths, languages)
 
     def read(batches):
         for batch in batches:
@@ -55,31 +96,46 @@ def uploaded(batches: DataFrame) -> DataFrame:
 def parsed(body: str):
     try:
         return ast.parse(body)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError):
         return None
 
 
 def definitions(body: str):
-    """(node, qualified, kind) of classes, their methods and functions at the root."""
-    for node in getattr(parsed(body), "body", ()):
+    """(node, qualified, kind, class) of classes, their methods and functions at the root; decorated ones are left out."""
+    plain = lambda nodes, *kinds: (n for n in nodes if isinstance(n, kinds) and not n.decorator_list)
+    functions = (ast.FunctionDef, ast.AsyncFunctionDef)
+    for node in plain(getattr(parsed(body), "body", ()), ast.ClassDef, *functions):
         if isinstance(node, ast.ClassDef):
-            yield node, node.name, "class"
-            yield from ((m, f"{node.name}.{m.name}", "method") for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef)))
-        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            yield node, node.name, "function"
+            yield node, node.name, "class", ""
+            yield from ((m, f"{node.name}.{m.name}", "method", node.name) for m in plain(node.body, *functions))
+        else:
+            yield node, node.name, "function", ""
 
 
-def python_symbols(files: DataFrame) -> DataFrame:
+def symbols_of(path: str, lang: str, body: str) -> list[dict]:
+    if lang != "python":
+        return Code(path, body, lang).symbols if lang in RULES else []
+    lines = body.split("\n")
+    return [
+        {"name": n.name, "qualified": q, "kind": kind, "line_start": n.lineno, "line_end": n.end_lineno, "signature": lines[n.lineno - 1].strip(), "doc_comment": ast.get_docstring(n) or "", "parent_class": owner, "content": "\n".join(lines[n.lineno - 1 : n.end_lineno])}
+        for n, q, kind, owner in definitions(body)
+    ]
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """The symbols of all files of languages that are known; a text that can't be read has none, a null text neither."""
+    names = [c.split()[0] for c in SYMBOL.split(", ")]
+
     def run(batches):
         for batch in batches:
-            out = []
-            for code, path, body in zip(batch["codebase_id"], batch["filepath"], batch["content"], strict=True):
-                lines = body.split("\n")
-                for node, name, kind in definitions(body):
-                    out.append((code, path, node.name, name, kind, node.lineno, node.end_lineno, lines[node.lineno - 1].strip(), ast.get_docstring(node), "\n".join(lines[node.lineno - 1 : node.end_lineno])))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SYMBOL.split(", ")])
+            out = [(code, path, lang, *(s[n] for n in names[3:])) for code, path, lang, body in zip(batch["codebase_id"], batch["filepath"], batch["language"], batch["content"], strict=True) if body for s in symbols_of(path, lang, body)]
+            yield pd.DataFrame(out, columns=names)
+
+    return known(files).mapInPandas(run, SYMBOL)
 
-    return files.where(T.detect_language(F.col("filepath")) == "python").mapInPandas(run, SYMBOL)
+
+def known(files: DataFrame) -> DataFrame:
+    return files.select("codebase_id", "filepath", T.detect_language(F.col("filepath")).alias("language"), "content").where("language <> ''")
 
 
 def called(node) -> str | None:
@@ -90,29 +146,70 @@ def called(node) -> str | None:
     return None
 
 
-def edges_of(path: str, body: str):
-    """(source, target, kind, line): imports from the file, bases of classes, calls by the narrowest definition."""
+def python_edges(path: str, body: str):
+    """(source, target, kind, line): imports from the file, bases of classes, calls and annotations by the narrowest definition."""
     tree = parsed(body)
     if tree is None:
         return
-    spans = [(n.lineno, n.end_lineno, q) for n, q, _ in definitions(body)]
+    spans = [(n.lineno, n.end_lineno, q) for n, q, *_ in definitions(body)]
+    around = lambda line: min(((b - a, k, q) for k, (a, b, q) in enumerate(spans) if a <= line <= b), default=(0, 0, ""))[2]
+    notes = []
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
-            yield from ((path, a.name, "imports", node.lineno) for a in node.names)
+            yield from ((path, a.name, "references", node.lineno) for a in node.names)
         elif isinstance(node, ast.ImportFrom) and node.module:
-            yield path, node.module, "imports", node.lineno
+            yield path, node.module, "references", node.lineno
         elif isinstance(node, ast.ClassDef):
-            yield from ((node.name, b, "inherits", node.lineno) for x in node.bases if (b := called(x)))
+            yield from ((node.name, b, "inherits", node.lineno) for x in node.bases if (b := called(x)) and b not in PYTHON_TYPES)
         elif isinstance(node, ast.Call) and (target := called(node.func)):
-            around = min(((b - a, a, q) for a, b, q in spans if a <= node.lineno <= b), default=None)
-            if around:
-                yield around[2], target, "calls", node.lineno
+            if (source := around(node.lineno)) and target not in PYTHON_FUNCS:
+                yield source, target, "calls", node.lineno
+        notes += [x for x in (getattr(node, "annotation", None), getattr(node, "returns", None)) if x is not None]
+    for note in notes:
+        for node in ast.walk(note):
+            if isinstance(node, ast.Name) and node.id not in PYTHON_TYPES and (source := around(node.lineno)) not in ("", node.id):
+                yield source, node.id, "references", node.lineno
 
 
-def python_relationships(files: DataFrame) -> DataFrame:
+def relationships_of(path: str, lang: str, body: str) -> list[tuple]:
+    if lang == "python":
+        return list(python_edges(path, body))
+    return Code(path, body, lang).relationships() if lang in RULES else []
+
+
+def relationships(files: DataFrame) -> DataFrame:
+    """The raw edges of all files, ord by their place in a file."""
+
     def run(batches):
         for batch in batches:
-            out = [(code, path, *e) for code, path, body in zip(batch["codebase_id"], batch["filepath"], batch["content"], strict=True) for e in edges_of(path, body)]
+            out = [(code, path, *e, k) for code, path, lang, body in zip(batch["codebase_id"], batch["filepath"], batch["language"], batch["content"], strict=True) if body for k, e in enumerate(relationships_of(path, lang, body))]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in EDGE.split(", ")])
 
-    return files.where(T.detect_language(F.col("filepath")) == "python").mapInPandas(run, EDGE)
+    return known(files).mapInPandas(run, EDGE)
+
+
+def python_symbols(files: DataFrame) -> DataFrame:
+    return symbols(files).where("language = 'python'")
+
+
+def python_relationships(files: DataFrame) -> DataFrame:
+    return relationships(files.where(T.detect_language(F.col("filepath")) == "python"))
+
+
+def structural(lang: str, body: str) -> str | None:
+    """A hash of a text's tokens without comments and layout; null where the language has no parser or the text can't be read."""
+    if lang == "python":
+        tree = parsed(body)
+        text = ast.dump(tree) if tree else None
+    else:
+        text = "".join(f"{t.kind}\0{t.text}\1" for t in Code("", body, lang).tokens if t.kind not in ("comment", "nl")) if lang in RULES else None
+    return None if text is None else hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()[:32]
+
+
+def structural_hashes(files: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            got = [structural(lang, body) if body is not None else None for lang, body in zip(batch["language"], batch["content"], strict=True)]
+            yield batch[["codebase_id", "filepath"]].assign(structural_hash=got)
+
+    return known(files).mapInPandas(run, "codebase_id string, filepath string, structural_hash string")

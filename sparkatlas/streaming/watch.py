@@ -49,6 +49,76 @@ def exact_bursts(events, width_s: float = 60.0, least: int = 500):
     return out
 
 
+def session_batches(events: DataFrame, key: str, path: str = "path", op: str = "op", gap: str = "3 seconds", at: str = "ts") -> DataFrame:
+    """Debounced batches of each key with what is to be done for each path in them: the operations are or-ed, removal wins."""
+    out = stamped(events, at).groupBy(F.session_window(at, gap).alias("w"), key).agg(F.collect_list(F.struct(path, op)).alias("each"))
+    ops = F.aggregate("each", F.create_map().cast("map<string,int>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x[path]), F.create_map(x[path], F.coalesce(F.try_element_at(m, x[path]), F.lit(0)).bitwiseOR(x[op].cast("int")))))
+    got = out.select(key, F.col("w.start").alias("started"), F.explode(ops).alias(path, "ops"))
+    return got.withColumn("action", F.when(F.col("ops").bitwiseAND(F.lit(REMOVE | RENAME)) != 0, "delete").otherwise("index"))
+
+
+def bursts_by_key(events: DataFrame, key: str, width_s: float = 60.0, least: int = 500, at: str = "ts") -> DataFrame:
+    """exact_bursts of each key of a table: its sorted events pass through a state of two numbers."""
+    rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
+
+    def run(frames):
+        now, start, n = object(), 0, 0
+        for frame in frames:
+            keys, starts = [], []
+            for k, t in zip(frame["key"], frame["t"], strict=True):
+                if k != now or t - start > width_s * 1e6:
+                    now, start, n = k, t, 0
+                n += 1
+                if n == least:
+                    keys.append(k)
+                    starts.append(start)
+            yield frame.iloc[:0].assign(key=[], t=[]) if not keys else type(frame)({"key": keys, "t": starts})
+
+    shape = rows.schema
+    return rows.repartition("key").sortWithinPartitions("key", "t").mapInPandas(run, shape).select(F.col("key").alias(key), F.col("t").alias("started"))
+
+
+STATES = ("requested", "started", "progress", "complete", "error")
+
+
+def request_states(events: DataFrame, key: str = "request_id", at: str = "ts") -> DataFrame:
+    """Of status events (key, node_id, codebase, status, at): each request's last state, its times and its node's state.
+
+    A request first met by a later state is a row as well; complete and error end it.
+    """
+    when = lambda *s: F.min(F.when(F.col("status").isin(*s), F.col(at)))
+    last = F.max(F.struct(at, "status", "node_id", "codebase"))
+    got = events.where(F.col("status").isin(*STATES)).groupBy(key).agg(F.min(at).alias("started_at"), when("complete", "error").alias("completed_at"), last.alias("l"))
+    state = F.when(F.col("l.status").isin("started", "progress"), "indexing").otherwise("idle")
+    return got.select(key, "started_at", "completed_at", "l.status", "l.node_id", "l.codebase", state.alias("node_status"))
+
+
+def registered(events: DataFrame, at: str = "ts") -> DataFrame:
+    """The nodes (node_id, codebase) whose last event isn't deregister."""
+    last = events.groupBy("node_id", "codebase").agg(F.max(F.struct(at, "event")).alias("l"))
+    return last.where("l.event <> 'deregister'").select("node_id", "codebase", F.col(f"l.{at}").alias("last_seen"))
+
+
+def buffered(stream: DataFrame, path: str, finalize, checkpoint: str, every: str = "2 seconds", once: bool = False):
+    """Run a stream of raw edges (request_id, final, ...): they wait in a table at `path`; a final row flushes its request.
+
+    finalize(edges, batch number) gets a request's edges, each once: a flushed request's number is written down beside them.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        df.write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
+        done = df.where("final").select("request_id").distinct()
+        waiting = spark.read.option("basePath", f"{path}/edges").parquet(f"{path}/edges").drop("batch")
+        flushed = f"{path}/flushed"
+        done.write.mode("overwrite").parquet(f"{flushed}/batch={number}")
+        before = spark.read.option("basePath", flushed).parquet(flushed).where(F.col("batch") < number).select("request_id").distinct()
+        finalize(waiting.join(done, "request_id", "left_semi").join(before, "request_id", "left_anti"), number)
+
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(**({"availableNow": True} if once else {"processingTime": every})).start()
+
+
 def status(events: DataFrame, key: str = "request_id", at: str = "ts") -> DataFrame:
     """The last state of each request; a request first seen by a later state is a row as well."""
     return events.groupBy(key).agg(F.min(at).alias("first_seen"), F.max_by("status", at).alias("status"), F.max(at).alias("updated"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkatlas.functions import scan
 from sparkatlas.functions import text as T
 from sparkatlas.operators import graph, reports, retrieval
-from sparkatlas.plans import catalogue, ingest
+from sparkatlas.plans import catalogue, catalogue_code, ingest  # noqa: F401
 from sparkatlas.streaming import watch
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got.collect(), got.columns) == rows(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("path, module, language", [("f.go", "", "go"), ("src/a/b.PY", "a", "python"), ("internal/f.kt", "internal", "kotlin"), ("./x.rs", "", "rust"), ("src/lib/pkg/q.txt", "src", ""), ("a/b/c.tsx", "a", "typescript"), ("noext", "", "")])
+@pytest.mark.parametrize("path, module, language", [("f.go", "", "go"), ("src/a/b.PY", "a", "python"), ("internal/f.kt", "internal", "kotlin"), ("./x.rs", "", "rust"), ("src/lib/pkg/q.txt", "src", ""), ("a/b/c.tsx", "a", "typescript"), ("noext", "", ""), ("./internal/f.kt", "internal", "kotlin"), ("a/../internal/b.cxx", "internal", ""), ("/src/x.swift", "", "swift"), ("/abs/x.jsx", "abs", "javascript"), ("pkg//lib/./m/x.hpp", "m", "cpp")])
 def test_paths(spark, path, module, language):
     row = spark.range(1).select(T.infer_module(F.lit(path)), T.detect_language(F.lit(path))).collect()[0]
     assert tuple(row) == (module, language)
@@ -52,11 +52,14 @@ def test_windows(spark):
 
 def test_scan_functions():
     assert scan.split_top_level('a, b(c, d), "e,f", g') == ["a", "b(c, d)", '"e,f"', "g"]
+    assert scan.split_top_level("Category=Player's, EditAnywhere, X") == ["Category=Player's", "EditAnywhere", "X"]
+    assert scan.split_top_level('a,, "x\\",y", b,') == ["a", "", '"x\\",y"', "b"] and scan.split_top_level("") == []
+    assert scan.extract_json('```python\n{"a": 1}\n```') == '{"a": 1}'
     assert scan.json_blocks('x {"a": {}} y {b}') == ['{"a": {}}', "{b}"]
     assert scan.extract_json('say ```json\n{"a": 1}\n``` end') == '{"a": 1}' and scan.extract_json("none") == ""
     assert scan.parse_summary('{"summary": "s", "key_classes": ["A"]}')["key_classes"] == ["A"] and scan.parse_summary(" raw ")["summary"] == "raw"
     assert scan.pack([1] * 129) == [0] * 128 + [1] and scan.pack([200_000, 5, 99_999]) == [0, 1, 2] and scan.pack([]) == []
-    assert scan.excluded("node_modules", ["**/node_modules"]) and scan.excluded("a/b/node_modules", ["**/node_modules"]) and not scan.excluded("a/b.py", ["*.py"])
+    assert scan.excluded("node_modules", ["**/node_modules"]) and scan.excluded("a/b/node_modules", ["**/node_modules"]) and scan.excluded("a/b.py", ["*.py"]) and not scan.excluded("a/b.py", ["a/*.go", "b/*.py", "a"])
     assert scan.retry_after("3", 0) == 3 and scan.retry_after("bad", 0) is None and 0.15 <= scan.backoff(1) <= 0.25
 
 
@@ -90,7 +93,7 @@ def test_invalid_kind_fails(spark):
 
 def test_cycle_in_hierarchy(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "child long, parent long")
-    assert sorted(tuple(r) for r in graph.hierarchy(df, 1, "parents", 9).collect()) == [(1, 0), (2, 1), (3, 2)]
+    assert sorted(tuple(r) for r in graph.hierarchy(df, 1, "parents", 9).collect()) == [(1, 0, "self"), (2, 1, "parent"), (3, 2, "parent")]
 
 
 def test_debounce_stream(spark, tmp_path):
@@ -119,4 +122,4 @@ def test_trees(spark, tmp_path):
     rows = tree.python_symbols(files).collect()
     assert sorted((r.qualified, r.kind, r.line_start, r.line_end) for r in rows) == [("A", "class", 2, 4), ("A.f", "method", 3, 4), ("g", "function", 5, 6)]
     edges = {(r.source_qualified, r.target_name, r.kind) for r in tree.python_relationships(files).collect()}
-    assert edges == {("pkg/a.py", "os", "imports"), ("A", "B", "inherits"), ("A.f", "g", "calls")}
+    assert edges == {("pkg/a.py", "os", "references"), ("A", "B", "inherits"), ("A.f", "g", "calls")}
