@@ -553,8 +553,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of the rows of one id one stays (the least by its text's hash); rows of null id all stay.
     """
     got = storage.written(join(docs, n=5, percent=80), "jaccard-stage")
-    gone = got.select("doc_id", "component_id").where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = storage.written(got.select("doc_id", "component_id").where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "jaccard-gone")
+    kept = docs.join(storage.hinted(gone, 32), "doc_id", "left_anti").select(*docs.columns)
     twice = storage.written(got.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-twice")
     if twice.isEmpty():
         return kept
