@@ -30,6 +30,8 @@ LEAST_SHARE = 1e-5
 TYPICAL = 0.25
 SIZES = (2, 3, 4, 5)
 PROBES = 3
+#: Bytes of text that are looked at together; each takes some 100 bytes of arrays. A longer text is looked at alone.
+SLICE = 1 << 18
 PLACES = 1 << 20
 #: A corrected share of hits below this means that no learned language fits.
 ACCEPT = 0.1
@@ -129,8 +131,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "d
 
 
 def lowered(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """The texts of an Arrow column in lower case, about W.SLICE bytes at a time, each with the number of its first; null is empty."""
-    for part in W.parts(column, None):
+    """The texts of an Arrow column in lower case, about SLICE bytes at a time, each with the number of its first; null is empty."""
+    for part in W.parts(column, None, size=SLICE):
         own = column.slice(part.row, part.n).fill_null("")
         try:
             yield part.row, pc.utf8_lower(own)
