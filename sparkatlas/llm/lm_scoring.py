@@ -283,7 +283,6 @@ def looked_up(rows: DataFrame, model: dict) -> DataFrame:
 
 def fit(train: DataFrame, text: str = "text") -> dict:
     """Counts of all texts of train (a written table), totals, what is broadcast, and the filter (a written table of chunks)."""
-    storage.bounded_batches(train.sparkSession)
     train = train.select(text)
     counts = freed(counted(train, lambda part: tokens(part)[0]), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).collect()[0]
@@ -313,7 +312,6 @@ def held(among: np.ndarray, x: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score (log10 of the model's probability of the text)."""
     spark = docs.sparkSession
-    storage.bounded_batches(spark)
     n, v, chunks = model["n"], model["v"], model["chunks"]
     under = n + ADD * (v + 1)
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
