@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from sparkatlas.llm import line_dedup, lm_scoring, topk
@@ -129,4 +130,42 @@ def test_lm_counts_all_pairs(spark):
     docs = spark.createDataFrame([(0, "left right"), (1, "right left"), (2, "unseen right"), (3, "right")], "doc_id long, text string")
     scores = dict(lm_scoring.score(docs, lm_scoring.fit(train)).select("doc_id", "score").collect())
     assert scores[0] > scores[1] + 2
-    assert math.isclose(scores[2] - scores[3], math.log10(0.1 / (60070 + 0.1 * 6)), rel_tol=1e-6)  # after an unseen word, as a first word
+    total = sum(float(lm_scoring.middle(lm_scoring.level(np.array([c])))[0]) for c in (60000, 10, 20, 10, 30))
+    assert math.isclose(scores[2] - scores[3], math.log10(0.1 / (total + 0.1 * 6)), rel_tol=1e-6)  # after an unseen word, as a first word
+
+
+def test_lm_scores_by_brute_force(spark, monkeypatch):
+    """The whole query, with a filter that hardly errs; words sum to 1, words after another nearly."""
+    exact = lm_scoring.query(spark, SMALL).select("doc_id", "score").collect()
+    monkeypatch.setattr(lm_scoring, "BITS_PER_ENTRY", 96)
+    got = {r.doc_id: r for r in lm_scoring.query(spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    rows = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(LOW)) + [None] for r in docs}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in rows}
+    train = [ws for i, ws in rows.items() if not held[i]]
+    word = Counter(w for ws in train for w in ws)
+    pair = Counter(p for ws in train for p in zip(ws, ws[1:]))
+
+    def as_level(c):
+        q = math.floor(2 * math.log2(c))
+        inside = [x for x in range(math.ceil(2 ** (q / 2)), math.ceil(2 ** ((q + 1) / 2)))]
+        return math.sqrt(inside[0] * inside[-1])
+
+    word, pair = ({k: as_level(c) for k, c in x.items()} for x in (word, pair))
+    below = sum(word.values()) + 0.1 * (len(word) + 1)
+
+    def prob(w, before=None):
+        p = (word.get(w, 0) + 0.1) / below
+        if before in word and before is not None:
+            p = 0.5 * p + 0.5 * min(pair.get((before, w), 0) / word[before], 1)
+        return p
+
+    assert math.isclose(sum(prob(w) for w in [*word, "never seen"]), 1)
+    often = sorted((w for w in word if w is not None), key=lambda w: (-word[w], w))[:40]
+    sums = [sum(prob(w, before) for w in [*word, "never seen"]) for before in often]
+    assert 0.88 < min(sums) and max(sums) < 1.12 and abs(sum(sums) / len(sums) - 1) < 0.03
+    want = {i: sum(math.log10(prob(w, b)) for w, b in zip(ws, [None, *ws])) for i, ws in rows.items()}
+    assert got.keys() == want.keys() and all(got[i].held_out == held[i] for i in rows)
+    assert sum(math.isclose(got[i].score, want[i], rel_tol=1e-9) for i in rows) >= 0.98 * len(rows)
+    assert all(math.isclose(got[i].score, want[i], rel_tol=0.01) for i in rows)
+    assert abs(sum(s for _, s in exact) / sum(want.values()) - 1) < 0.02  # by the filter as it is
