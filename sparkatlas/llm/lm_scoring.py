@@ -267,7 +267,7 @@ def asked(docs: DataFrame, text: str, chunks: int) -> DataFrame:
                 made += 1
                 own = batch.slice(part.row, part.n)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(part.n, g)), pa.nulls(part.n, pa.int32()), pa.nulls(part.n, pa.binary())], names)
-                x = np.unique(ids(grams(own.column(place)), chunks))
+                x = W.distinct(ids(grams(own.column(place)), chunks))
                 k, at = chunks_of(x)
                 none = [pa.nulls(len(k), f.type) for f in own.schema]
                 yield pa.RecordBatch.from_arrays([*none, pa.array(np.full(len(k), g)), pa.array(k), packed(x, at)], names)
@@ -348,11 +348,9 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         log = np.where(is_head, np.log10((c + ADD) / under), 0.0)
 
         both, pair = pairs(h, doc)
-        pair, of = np.unique(pair, return_inverse=True)
-        one_id, pair_id = ids(one, chunks), ids(pair, chunks)
-        every = np.unique(np.concatenate([one_id, pair_id]))  # as in asked()
-        seen = middle(np.concatenate(held_in(levels.sort_by("_k").column("_q"), np.uint8)).astype(np.int64))
-        word, together = seen[np.searchsorted(every, one_id)], seen[np.searchsorted(every, pair_id)][of]
+        _, of = np.unique(np.concatenate([ids(one, chunks), ids(pair, chunks)]), return_inverse=True)  # as in asked()
+        seen = middle(np.concatenate(held_in(levels.sort_by("_k").column("_q"), np.uint8)).astype(np.int64))[of]
+        word, together = seen[: len(one)], seen[len(one) :]
         prob = ((word + ADD) / below)[back]
         before = word[back[both - 1]]
         both, before, together = (x[before > 0] for x in (both, before, together))

@@ -31,6 +31,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order. np.unique without counts takes a hash table: ten times as long on millions of hashes."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 _POWERS = [np.ones(1, U), np.ones(1, U)]
 
 
