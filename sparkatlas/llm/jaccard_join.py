@@ -125,6 +125,23 @@ def surveyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return storage.written(rows.mapInArrow(run, shape), "jaccard-survey")
 
 
+def reordered(docs: DataFrame, n: int, percent: int, last: np.ndarray) -> DataFrame:
+    """c, row, n and keys (the window, n-grams of last put last) of each row of doc_id, text with words. Texts aren't shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(last)
+
+    def run(batches):
+        for batch in batches:
+            for part in W.parts(batch.column(1), lower=True):
+                got = [(part.row + k, grams) for k, grams in shingle_sets(part, n)]
+                if got:
+                    rows = batch.column(0).take(pa.array([k for k, _ in got]))
+                    columns = [pa.array([f(g) for _, g in got], pa.int64()) for f in (class_of, len)]
+                    keys = lists([window(g, percent, sent.value) for _, g in got])
+                    yield pa.RecordBatch.from_arrays([columns[0], rows, columns[1], keys], ["c", "row", "n", "keys"])
+
+    return docs.select(F.xxhash64("doc_id").alias("row"), "text").mapInArrow(run, "c long, row long, n long, keys array<long>")
+
+
 class Sets:
     """The sets of some classes, made again from one document each."""
 
@@ -149,11 +166,6 @@ class Sets:
 
         return self.rows.mapInArrow(run, shape)
 
-    def windows(self, last: np.ndarray) -> DataFrame:
-        percent, sent = self.percent, self.rows.sparkSession.sparkContext.broadcast(last)
-        make = lambda sets: [pa.array([len(g) for g in sets], pa.int64()), lists([window(g, percent, sent.value) for g in sets])]
-        return self.mapped(make, "c long, row long, n long, keys array<long>")
-
     def grams(self) -> DataFrame:
         return self.mapped(lambda sets: [pa.array([g.tobytes() for g in sets], pa.binary())], "c long, row long, grams binary").select("c", "grams")
 
@@ -212,18 +224,20 @@ def labelled(members: DataFrame, own: DataFrame | None) -> DataFrame:
     return members.join(own, "c", "left").withColumn("component", F.coalesce("component", "c"))
 
 
-def representatives(survey: DataFrame, kept) -> DataFrame:
-    """The survey's rows of one document of each class."""
+def representatives(survey: DataFrame, kept) -> tuple[DataFrame, DataFrame]:
+    """The survey's rows of one document of each class; and tag, row of the others (a written table)."""
     survey = survey.where("n > 0")
     classes = kept(survey.groupBy("c").agg(F.min("tag").alias("least"), F.count("*").alias("k")).where("k > 1").select("c", "least"), "jaccard-classes")
-    copies = kept(survey.select("c", "tag").join(storage.hinted(classes, 16), "c").where("tag <> least").select("tag"), "jaccard-copies")
-    return survey.join(storage.hinted(copies, 8), "tag", "left_anti").select("c", "row", "n", "keys", *BITS)
+    copies = kept(survey.select("c", "tag", "row").join(storage.hinted(classes, 16), "c").where("tag <> least").select("tag", "row"), "jaccard-copies")
+    return survey.join(storage.hinted(copies.select("tag"), 8), "tag", "left_anti").select("c", "row", "n", "keys", *BITS), copies
 
 
-def regions(docs: DataFrame, base: DataFrame, n: int, percent: int, repeated: bool, kept) -> tuple[DataFrame, DataFrame]:
-    """c, row, n, keys of all classes, with crowded n-grams put last; and key, size of all regions of two classes or more."""
-    spark = docs.sparkSession
-    windows, last = base.select("c", "row", "n", "keys"), np.zeros(0, W.U)
+def regions(docs: DataFrame, base: DataFrame, copies: DataFrame, n: int, percent: int, repeated: bool, kept) -> tuple[DataFrame, DataFrame]:
+    """c, row, n, keys of all classes, with crowded n-grams put last; and key, size of all regions of two classes or more.
+
+    base (a written table) is deleted once the windows are made again.
+    """
+    windows, last = base, np.zeros(0, W.U)
     counted = lambda: kept(windows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-keys")
     sizes = counted()
     for _ in range(ORDERS):
@@ -232,17 +246,16 @@ def regions(docs: DataFrame, base: DataFrame, n: int, percent: int, repeated: bo
         if not len(crowd):
             break
         last = np.sort(np.concatenate([last, crowd]))
-        late = spark.createDataFrame(pa.table({"key": crowd.view(np.int64)}))
-        late = F.broadcast(late) if len(crowd) * (8 + storage.ROW_BYTES) <= storage.BROADCAST_BYTES else late
-        redo = kept(windows.select("c", "row", F.explode("keys").alias("key")).join(late, "key", "left_semi").select("c", "row").distinct(), "jaccard-redo")
-        new = kept(Sets(docs, redo, n, percent, repeated).windows(last), "jaccard-windows")
-        windows = windows.join(storage.hinted(redo.select("c"), 8), "c", "left_anti").unionByName(new)
+        storage.dropped(windows, sizes)
+        every = reordered(docs, n, percent, last)
+        one = every.dropDuplicates(["c"]) if repeated else every.join(storage.hinted(copies.select("row"), 8), "row", "left_anti")
+        windows = kept(one.select("c", "row", "n", "keys"), "jaccard-windows")
         sizes = counted()
     return windows, sizes
 
 
 def links(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: links of classes whose components are those of all links; a written table."""
+    """a, b: links of classes whose components are those of all links; a written table. The survey is deleted once it is read."""
     spark, made = docs.sparkSession, []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -250,14 +263,19 @@ def links(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> DataFrame
         return made[-1]
 
     repeated = not survey.groupBy("row").count().where("count > 1").isEmpty()
-    base = kept(representatives(survey, kept), "jaccard-windows")
-    marks = base.select("c", "n", *BITS)
-    windows, sizes = regions(docs, base, n, percent, repeated, kept)
+    base, copies = representatives(survey, kept)
+    base = kept(base, "jaccard-windows")
+    storage.dropped(survey)
+    marks = kept(base.select("c", "row", "n", *BITS), "jaccard-marks")
+    rows, marks = marks.select("c", "row"), marks.drop("row")
+    windows, sizes = regions(docs, base, copies, n, percent, repeated, kept)
     members = kept(windows.select(F.explode("keys").alias("key"), "c", "n").join(sizes, "key"), "jaccard-members")
+    storage.dropped(windows, sizes)
     pairs = kept(close(candidates(members, percent), marks, percent), "jaccard-candidates")
     near = pairs.select("c").unionByName(pairs.select(F.col("p").alias("c"))).unionByName(members.where(F.col("size") > SMALL).select("c")).distinct()
-    near = kept(base.select("c", "row").join(near, "c", "left_semi"), "jaccard-near")
-    members = kept(members.join(storage.hinted(near.select("c"), 8), "c", "left_semi"), "jaccard-members")
+    near = kept(rows.join(near, "c", "left_semi"), "jaccard-near")
+    first, members = members, kept(members.join(storage.hinted(near.select("c"), 8), "c", "left_semi"), "jaccard-members")
+    storage.dropped(first)
     sets = kept(Sets(docs, near, n, percent, repeated).grams(), "jaccard-sets")
 
     tested = kept(spark.createDataFrame([], "p long, c long, shared long, n long, m long"), "jaccard-tested")
@@ -528,8 +546,9 @@ def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", n: int = 4,
     storage.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
     survey = surveyed(docs, n, percent)
+    every = storage.written(survey.select("doc_id", "n", "c"), "jaccard-rows")
     own = components(links(docs, survey, n, percent))
-    every = survey.select("doc_id", "n", "c").join(storage.hinted(own, 16), F.col("c") == F.col("node"), "left").drop("node")
+    every = every.join(storage.hinted(own, 16), F.col("c") == F.col("node"), "left").drop("node")
     every = every.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "c")))
     # several rows of one id are one vertex
     mixed = every.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")

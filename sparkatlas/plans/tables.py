@@ -19,11 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Whether a query's shuffle files are deleted when it ends; otherwise when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back."""
+    """df written to the shared folder and read back. What was shuffled for it is deleted at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a plan of its own, made while the setting holds
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -2,11 +2,12 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from sparkatlas.llm import components, jaccard_join, substring_dedup
+from sparkatlas.llm import components, jaccard_join, storage, substring_dedup
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -150,3 +151,25 @@ def test_pipeline(spark):
     assert len({r.doc_id for r in rows}) == len(rows) and all(len(r.ids) == r.n_tokens for r in rows)
     left = components_brute([(r.doc_id, r.text) for r in rows], 5, 80)
     assert sum(c != i for i, _, c in left) <= 2  # decontamination may make two alike
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    storage.written(spark.range(1000).repartition(3, "id"), "shuffled")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+
+
+def test_crowded_ngrams_are_put_last_without_a_join_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CROWD", 1)
+    made, plain = [], jaccard_join.Sets.__init__
+    monkeypatch.setattr(jaccard_join.Sets, "__init__", lambda self, *rest: made.append(1) or plain(self, *rest))
+    rows = list(enumerate([*near_copies(random.Random(3), 12), "a b c d e f", "a b c d e f"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard_join.join(docs).collect()} == components_brute(rows, 4, 85)
+    assert len(made) == 1  # of possible partners only
