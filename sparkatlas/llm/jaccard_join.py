@@ -16,7 +16,7 @@ Sets of word n-grams are compared; sets that are equal are one class and go on o
 5. Larger regions are joined into clusters, and partitioned again: by size into rings around the empty set, as wide as
    the reach, so that links are within a ring or between neighbours. A cell (two blocks of rings) is split recursively by
    the distances of the bits to a new pivot document each time, with windows as wide as the reach at the cut. Sets without
-   a partner there are done; the others go through rings around the cluster's pivot document, in blocks of CELL n-grams.
+   a partner there, and none by WIDE bits, are done; the others go through rings around the cluster's pivot document, in blocks of CELL n-grams.
    A cell compares two blocks in place and returns links only.
 
 Every link between different components is thereby looked at; links inside a component change nothing. Distances are
@@ -55,6 +55,8 @@ BLOCK, BLOCKS, LEAF = 1024, 64, 256
 #: Sets that are compared with one copy of a pivot document.
 STAR = 200
 MARKS = 512
+#: Bits of the sets that MARKS leave in cells: of long sets (1,600 n-grams or more) so few bits tell nothing.
+WIDE = 1 << 14
 BITS = [f"s{k}" for k in range(MARKS // 64)]
 
 
@@ -76,9 +78,9 @@ def class_of(grams: np.ndarray) -> int:
     return int(W.mix(W.mix(grams).sum(dtype=W.U)[None] + W.U(len(grams)))[0].view(np.int64))
 
 
-def parities(grams: np.ndarray) -> np.ndarray:
-    """MARKS bits as longs."""
-    odd = np.bincount((grams & W.U(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+def parities(grams: np.ndarray, marks: int = MARKS) -> np.ndarray:
+    """marks bits (a power of two) as longs."""
+    odd = np.bincount((grams & W.U(marks - 1)).astype(np.int64), minlength=marks) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -310,6 +312,10 @@ def links(docs: DataFrame, survey: DataFrame, n: int, percent: int) -> DataFrame
         made.append(cluster)
         many = kept(many.select("c", "n", "component").distinct().join(cluster.select(F.col("node").alias("c"), F.col("component").alias("p")), "c"), "jaccard-clusters")
         some = kept(partnered(many, marks, percent), "jaccard-partnered")
+        if not some.isEmpty():
+            many = kept(many.join(storage.hinted(some, 8), "c", "left_semi"), "jaccard-clusters")
+            wide = kept(sharper(sets.join(storage.hinted(some, 8), "c", "left_semi")), "jaccard-wide")
+            some = kept(partnered(many, wide, percent), "jaccard-partnered")
         if not some.isEmpty():
             out = out.unionByName(cells(sets, many.join(storage.hinted(some, 8), "c", "left_semi"), tested, percent, kept))
     out = storage.written(out, "jaccard-links")
@@ -399,17 +405,33 @@ def dealt(members: DataFrame, blocks: DataFrame) -> DataFrame:
 CELL_KEY = ["p", "i", "x", "j", "y"]
 
 
+def sharper(sets: DataFrame) -> DataFrame:
+    """c and WIDE bits of each of sets."""
+
+    def run(batches):
+        for batch in batches:
+            wide = [parities(np.frombuffer(g.as_buffer(), W.U), WIDE).tobytes() for g in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], ["c", "wide"])
+
+    return sets.select("c", "grams").mapInArrow(run, "c long, wide binary")
+
+
 def partnered(clusters: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """c: the classes of a cluster (p) to whose bits those of another component's are near enough for a link."""
+    """c: the classes of a cluster (p) to whose bits those of another component's are near enough for a link.
+
+    marks: c and bits, as longs or as one binary column.
+    """
+    marks = marks.drop("n")
     width = np.log(100 / percent) * 1.001  # linked sizes are in one ring or in neighbours
     members = clusters.withColumn("ring", F.floor(F.ln("n") / width).cast("int"))
     blocks = members.groupBy("p", "ring").agg(F.least(F.lit(BLOCKS), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
-    rows = dealt(members, blocks).join(marks.drop("n"), "c").select(*CELL_KEY, "side", "c", "n", "component", *BITS)
+    rows = dealt(members, blocks).join(marks, "c").select(*CELL_KEY, "side", "c", "n", "component", *[x for x in marks.columns if x != "c"])
 
     def run(batches):
         for key, rows in grouped(batches, len(CELL_KEY)):
             side, c, n, component, *bits = (x.to_numpy() for x in rows.columns[len(CELL_KEY) :])
-            hit = Cell(np.stack(bits, 1).view(W.U), n, component, percent).partners(side, key[1:3] == key[3:5])
+            bits = np.stack(bits, 1) if len(bits) > 1 else np.stack([np.frombuffer(x, np.int64) for x in bits[0]])
+            hit = Cell(bits.view(W.U), n, component, percent).partners(side, key[1:3] == key[3:5])
             if hit.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[hit])], ["c"])
 
@@ -452,10 +474,12 @@ class Cell:
     def compare(self, a: np.ndarray, b: np.ndarray) -> None:
         """Of a with b: split by the distance to a pivot document, with a window on both sides of the cut, until few are left."""
         if len(a) <= LEAF and len(b) <= LEAF:
-            far = np.bitwise_count(self.bits[a][:, None] ^ self.bits[b]).sum(2, dtype=np.int64)
-            near = ((100 + self.percent) * far <= (100 - self.percent) * (self.n[a][:, None] + self.n[b])) & (self.component[a][:, None] != self.component[b])
-            self.hit[a] |= near.any(1)
-            self.hit[b] |= near.any(0)
+            step = max(1, (1 << 20) // (len(b) * self.bits.shape[1]))  # 8 MB at once
+            for part in (a[k : k + step] for k in range(0, len(a), step)):
+                far = np.bitwise_count(self.bits[part][:, None] ^ self.bits[b]).sum(2, dtype=np.int64)
+                near = ((100 + self.percent) * far <= (100 - self.percent) * (self.n[part][:, None] + self.n[b])) & (self.component[part][:, None] != self.component[b])
+                self.hit[part] |= near.any(1)
+                self.hit[b] |= near.any(0)
             return
         pivot = self.bits[a[len(a) // 2]]
         da, db = (np.bitwise_count(self.bits[x] ^ pivot).sum(1, dtype=np.int64) for x in (a, b))

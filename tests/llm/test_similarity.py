@@ -173,3 +173,20 @@ def test_crowded_ngrams_are_put_last_without_a_join_of_texts(spark, monkeypatch)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in jaccard_join.join(docs).collect()} == components_brute(rows, 4, 85)
     assert len(made) == 1  # of possible partners only
+
+
+def test_long_unrelated_sets_never_reach_the_cells(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    monkeypatch.setattr(jaccard_join, "CROWD", 10**9)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    seen = []
+    plain = jaccard_join.cells
+    monkeypatch.setattr(jaccard_join, "cells", lambda sets, members, *rest: seen.append({r.n for r in members.collect()}) or plain(sets, members, *rest))
+    rng = random.Random(5)
+    common = " ".join(f"c{k}" for k in range(150))
+    rows = [(k, common + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000 + k))) for k in range(12)]
+    rows.append((12, rows[3][1] + " more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in jaccard_join.join(docs).collect()}
+    assert got == components_brute(rows, 4, 85) and (12, 2151, 3) in got
+    assert all(n in (2150, 2151) for ns in seen for n in ns)
