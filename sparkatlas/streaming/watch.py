@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,24 +59,27 @@ def session_batches(events: DataFrame, key: str, path: str = "path", op: str = "
 
 
 def bursts_by_key(events: DataFrame, key: str, width_s: float = 60.0, least: int = 500, at: str = "ts") -> DataFrame:
-    """exact_bursts of each key of a table: its sorted events pass through a state of two numbers."""
-    rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
+    """exact_bursts of each key of a table: its sorted events pass through a state of two numbers.
 
-    def run(frames):
-        now, start, n = object(), 0, 0
-        for frame in frames:
+    Null keys are no key. Events without a time come last and count towards the window that is open then, as in the SQL.
+    """
+    rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t")).where("key IS NOT NULL")
+
+    def run(batches):
+        now, start, n = None, None, 0
+        for batch in batches:
             keys, starts = [], []
-            for k, t in zip(frame["key"], frame["t"], strict=True):
-                if k != now or t - start > width_s * 1e6:
+            for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != now or None not in (t, start) and t - start > width_s * 1e6:
                     now, start, n = k, t, 0
                 n += 1
                 if n == least:
                     keys.append(k)
                     starts.append(start)
-            yield frame.iloc[:0].assign(key=[], t=[]) if not keys else type(frame)({"key": keys, "t": starts})
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.types[0]), pa.array(starts, pa.int64())], ["key", "t"])
 
-    shape = rows.schema
-    return rows.repartition("key").sortWithinPartitions("key", "t").mapInPandas(run, shape).select(F.col("key").alias(key), F.col("t").alias("started"))
+    ordered = rows.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("t"))
+    return ordered.mapInArrow(run, rows.schema).select(F.col("key").alias(key), F.col("t").alias("started"))
 
 
 STATES = ("requested", "started", "progress", "complete", "error")
