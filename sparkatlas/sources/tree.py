@@ -5,13 +5,18 @@ from __future__ import annotations
 import ast
 import hashlib
 import os
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkatlas.functions import text as T
 from sparkatlas.functions.scan import excluded
+from sparkatlas.plans.tables import written
 from sparkatlas.sources.code import RULES, Code
 
 FILE = "codebase_id string, filepath string, content string"
@@ -19,6 +24,8 @@ SYMBOL = "codebase_id string, filepath string, language string, name string, qua
 EDGE = "codebase_id string, filepath string, source_qualified string, target_name string, kind string, line int, ord long"
 #: An upload batch is full at so many files or bytes.
 BATCH_FILES, BATCH_BYTES = 64, 4 << 20
+#: So many files at most are dealt out together.
+BLOCK = 8192
 
 # Python names that are no targets of edges.
 PYTHON_FUNCS = frozenset("""print len range type int str float bool list dict set tuple isinstance issubclass hasattr getattr setattr delattr open input repr id abs min max sum
@@ -46,25 +53,102 @@ def languages_of(paths: DataFrame, skip: str = r"(^|/)(vendor|node_modules|third
     return wanted(paths.where(~F.col("filepath").rlike(skip))).select(T.detect_language(F.col("filepath")).alias("language")).distinct()
 
 
+def open_batches(sizes: list[int], most: int, most_bytes: int) -> list[tuple[int, int, int]]:
+    """From each place in a list of bytes on, one after the last too: how many batches get full, files and bytes of the one left open."""
+    n, total = len(sizes), [0, *accumulate(sizes)]
+    out = [(0, 0, 0)] * (n + 1)
+    for i in reversed(range(n)):
+        end = min(i + most, bisect_left(total, total[i] + most_bytes, i + 1))
+        full, files, size = out[end] if end <= n else (-1, n - i, total[n] - total[i])
+        out[i] = (full + 1, files, size)
+    return out
+
+
 def upload_batches(files: DataFrame, key: str = "codebase_id") -> DataFrame:
-    """files with batch: in the order of their paths, a batch of a key ends with the file that fills it."""
-    rows = files.withColumn("_bytes", F.octet_length("content"))
-    names = files.columns
+    """files with batch: in the order of their paths, a batch of a key ends with the file that fills it.
+
+    Only paths and sizes are sorted, by ranges, and written in blocks. A batch that is open where a block begins ends in its
+    first 63 files, so that a block says what it comes to for each of 64 first files of its own batches; one pass over these
+    few numbers finds how each block begins, and the blocks are dealt out with that. Files find their batch by their path;
+    files of an equal path stand in the order of their sizes. files is read twice and must be the same both times.
+    """
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
+    rows = files.select(F.col(key).alias("k"), F.col("filepath").alias("p"), size.alias("b")).repartitionByRange("k", "p", "b").sortWithinPartitions("k", "p", "b")
+    kind = {c: rows.schema[c].dataType.simpleString() for c in "kp"}
+
+    def cut(batches):
+        part, block, now, sizes = TaskContext.get().partitionId(), -1, None, []
+
+        def said():
+            head = sizes[: BATCH_FILES - 1]
+            return [len(head), *head, *(x for o in open_batches(sizes, BATCH_FILES, BATCH_BYTES)[: len(head) + 1] for x in o)]
 
-    def run(frames):
-        now, batch, n, size = object(), 0, 0, 0
-        for frame in frames:
+        def made(types, blocks, at, keys, paths, lengths, says):
+            arrays = [pa.array([part] * len(at), pa.int32()), pa.array(blocks, pa.int64()), pa.array(at, pa.int32()), pa.array(keys, types[0]), paths, lengths, pa.array(says, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(arrays, ["part", "block", "i", "k", "p", "b", "says"])
+
+        for batch in batches:
+            blocks, at, ended, types = [], [], [], batch.schema.types
+            keys = batch.column(0).to_pylist()
+            for k, length in zip(keys, batch.column(2).to_pylist(), strict=True):
+                if block < 0 or k != now or len(sizes) == BLOCK:
+                    ended += [(block, now, said())] if sizes else []
+                    block, now, sizes = block + 1, k, []
+                blocks.append(block)
+                at.append(len(sizes))
+                sizes.append(length)
+            yield made(types, blocks, at, keys, batch.column(1), batch.column(2), [None] * len(at))
+            for b, k, says in ended:
+                yield made(types, [b], [-1], [k], pa.nulls(1, types[1]), pa.nulls(1, types[2]), [says])
+        if sizes:
+            yield made(types, [block], [-1], [now], pa.nulls(1, types[1]), pa.nulls(1, types[2]), [said()])
+
+    def begin(batches):
+        first, now, batch, n, size = True, None, 0, 0, 0
+        for frame in batches:
+            out = []
+            for k, says in zip(frame.column(2).to_pylist(), frame.column(3).to_pylist(), strict=True):
+                if first or k != now:
+                    first, now, batch, n, size = False, k, 0, 0, 0
+                out.append((n, size, batch))
+                head, o = says[0], 0
+                while n and o < head:
+                    n, size, o = n + 1, size + says[1 + o], o + 1
+                    if n >= BATCH_FILES or size >= BATCH_BYTES:
+                        batch, n, size = batch + 1, 0, 0
+                if not n:
+                    full, n, size = says[1 + head + 3 * o : 4 + head + 3 * o]
+                    batch += full
+            n_, size_, batch_ = (pa.array(x, pa.int64()) for x in zip(*out, strict=True)) if out else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), n_, size_, batch_], ["part", "block", "n", "b", "batch"])
+
+    def deal(batches):
+        for frame in batches:
             out = []
-            for k, length in zip(frame[key], frame["_bytes"], strict=True):
-                if k != now:
-                    now, batch, n, size = k, 0, 0, 0
+            for i, length, n_, batch_ in zip(*(c.to_pylist() for c in frame.columns[2:]), strict=True):
+                if i < 0:
+                    batch, n, size = batch_, n_, length
+                    out.append(None)
+                    continue
                 out.append(batch)
-                n, size = n + 1, size + int(length or 0)
+                n, size = n + 1, size + length
                 if n >= BATCH_FILES or size >= BATCH_BYTES:
                     batch, n, size = batch + 1, 0, 0
-            yield frame.assign(batch=out)[[*names, "batch"]]
+            yield pa.RecordBatch.from_arrays([*frame.columns[:2], pa.array(out, pa.int64())], ["k", "p", "batch"])
+
+    cuts = written(rows.mapInArrow(cut, f"part int, block long, i int, k {kind['k']}, p {kind['p']}, b long, says array<bigint>"), "upload-batches")
+    says = cuts.where("i < 0").select("part", "block", "k", "says").repartition("k").sortWithinPartitions("k", "part", "block")
+    begun = says.mapInArrow(begin, "part int, block long, n long, b long, batch long").withColumn("i", F.lit(-1))
+    each = cuts.where("i >= 0").select("part", "block", "k", "p", "i", "b").unionByName(begun, allowMissingColumns=True).repartition("part", "block").sortWithinPartitions("part", "block", "i")
+    dealt = each.select("k", "p", "i", "b", "n", "batch").mapInArrow(deal, f"k {kind['k']}, p {kind['p']}, batch long").where("batch IS NOT NULL")
+
+    def numbered(df, k, p, order):
+        same = F.struct(F.col(k).alias("k"), F.col(p).alias("p"))  # a struct of nulls is equal to another
+        df = df.withColumn("_path", same)
+        return df.withColumn("_nth", F.row_number().over(Window.partitionBy("_path").orderBy(order)))
 
-    return rows.repartition(key).sortWithinPartitions(key, "filepath").mapInPandas(run, files.withColumn("batch", F.lit(0).cast("long")).schema)
+    found = numbered(dealt, "k", "p", "batch").select("_path", "_nth", "batch")
+    return numbered(files, key, "filepath", size).join(found, ["_path", "_nth"]).select(*files.columns, "batch")
 
 
 def files(spark: SparkSession, root: str, codebase: str, exclude: list[str] = (), languages: list[str] = ()) -> DataFrame:

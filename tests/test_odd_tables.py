@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sparkatlas.sources import tree
 from sparkatlas.streaming import watch
 
 
@@ -20,3 +21,42 @@ def test_bursts_with_nulls(spark):
     events = spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
     got = watch.bursts_by_key(events, "k", 60, 3).collect()
     assert sorted((r.k, r.started) for r in got) == [("a", 1_000_000), ("b", None)]
+
+
+def batches_by_force(rows, files, size):
+    """upload_batches of sorted (key, path, bytes)."""
+    now, out = None, []
+    for k, p, b in rows:
+        if not out or k != now:
+            now, batch, n, total = k, 0, 0, 0
+        out.append((k, p, b, batch))
+        n, total = n + 1, total + b
+        if n >= files or total >= size:
+            batch, n, total = batch + 1, 0, 0
+    return out
+
+
+def test_upload_batches_over_blocks(spark, monkeypatch):
+    """Batches across blocks and ranges, big files, few files of a key, null keys, paths and contents, equal paths."""
+    import random
+
+    draw = random.Random(7)
+    rows = [(k, f"f{draw.randrange(900)}", draw.choice([0, 1, 5, 50, 400])) for k, n in (("a", 1500), ("b", 3), ("c", 130), (None, 90)) for _ in range(n)]
+    rows += [("c", None, 7), ("c", None, None), (None, None, 3), ("c", "f1", 900)]
+    monkeypatch.setattr(tree, "BATCH_BYTES", 900)
+    df = spark.createDataFrame(rows, "codebase_id string, filepath string, b int").repartition(5)
+    df = df.select("codebase_id", "filepath", F.expr("repeat('x', b)").alias("content")).cache()
+    nulls = lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or "", r[2])
+    want = batches_by_force(sorted(((k, p, b or 0) for k, p, b in rows), key=nulls), 64, 900)
+    for block in (7, 100, 8192):
+        monkeypatch.setattr(tree, "BLOCK", block)
+        got = [(r.codebase_id, r.filepath, len(r.content or ""), r.batch) for r in tree.upload_batches(df).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_upload_batches_leave_contents_where_they_are(spark):
+    """One codebase's contents aren't one task's: what is asked for without them moves paths and sizes only."""
+    df = spark.range(300).select(F.lit("c").alias("codebase_id"), F.col("id").cast("string").alias("filepath"), F.expr("repeat('x', 10)").alias("content"))
+    df.write.mode("overwrite").parquet(at := f"{spark.conf.get('spark.checkpoint.dir')}/uploads")
+    plan = tree.upload_batches(spark.read.parquet(at)).select("filepath", "batch")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and not [x for x in plan.split("\n") if "content" in x and "octet_length" not in x and "Relation" not in x]
