@@ -60,7 +60,9 @@ class Atlas:
 
     def finalize(self, raw: DataFrame) -> None:
         """Resolve raw edges within their codebases and put them in."""
-        self.store.upsert("relationships", graph.resolve(raw, self.store.read("symbols"), ("codebase_id",)))
+        edges = graph.resolve(raw, self.store.read("symbols"), ("codebase_id",))
+        self.store.upsert("relationships", edges)
+        dropped(edges)
 
     def collect_garbage(self, files: DataFrame) -> None:
         """Remove what is stored of files that the tree of their codebase doesn't hold any more."""

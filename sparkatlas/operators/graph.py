@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkatlas.functions import text as T
-from sparkatlas.plans.tables import written
+from sparkatlas.plans.tables import dropped, written
 
 
 def resolve(raw: DataFrame, symbols: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -15,19 +15,23 @@ def resolve(raw: DataFrame, symbols: DataFrame, scope: tuple[str, ...] = ()) ->
     A source is a qualified name; a target is a qualified name, one without one leading *, or a short name (smallest id);
     names count within equal columns of scope, as the codebase. Edges without either end and self-edges go; of equal
     (source, target, kind) the first by ord stays. Each distinct name is resolved once, so that a name with a large part
-    of all edges isn't moved in the course of it.
+    of all edges isn't moved in the course of it. Names and the result are written, each by small tasks,
+    so that no task holds the sorts of both: a sort holds a page of 64 MB at least.
     """
     scope = list(scope)
     whole = symbols.groupBy(*scope, F.col("qualified").alias("name")).agg(F.max("id").alias("id"))
     short = symbols.groupBy(*scope, T.short_name(F.col("qualified")).alias("name")).agg(F.min("id").alias("id"))
     names = raw.select(*scope, F.col("target_name").alias("name")).distinct().withColumn("bare", F.regexp_replace("name", r"^\*", ""))
-    found = names.join(whole.withColumnRenamed("id", "one"), [*scope, "name"], "left")
-    found = found.join(whole.select(*scope, F.col("name").alias("bare"), F.col("id").alias("two")), [*scope, "bare"], "left").join(short.withColumnRenamed("id", "three"), [*scope, "name"], "left")
+    found = names.join(whole.withColumnRenamed("id", "one"), [*scope, "name"], "left").join(short.withColumnRenamed("id", "three"), [*scope, "name"], "left")
+    found = found.join(whole.select(*scope, F.col("name").alias("bare"), F.col("id").alias("two")), [*scope, "bare"], "left")
     found = found.select(*scope, F.col("name").alias("target_name"), F.coalesce("one", "two", "three").alias("target_id")).where("target_id IS NOT NULL")
+    found = written(found, "resolved-names", small_tasks=True)
     edges = raw.join(found, [*scope, "target_name"]).join(whole.select(*scope, F.col("name").alias("source_qualified"), F.col("id").alias("source_id")), [*scope, "source_qualified"])
     edges = edges.where("source_id <> target_id")
     first = edges.groupBy(*scope, "source_id", "target_id", "kind").agg(F.min(F.struct("ord", "filepath", "line")).alias("f"))
-    return first.select(*scope, "source_id", "target_id", "kind", "f.filepath", "f.line")
+    out = written(first.select(*scope, "source_id", "target_id", "kind", "f.filepath", "f.line"), "resolved", small_tasks=True)
+    dropped(found)
+    return out
 
 
 def references(edges: DataFrame, symbols: DataFrame, targets: DataFrame, kind: str = "any", limit: int = 20) -> DataFrame:

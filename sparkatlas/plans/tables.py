@@ -23,16 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: For plans that sort and join many short strings: these shrink to a twentieth in a shuffle or a file, so that a task that
+#: takes the usual 64 MB or 128 MB of them holds over a GB. Smaller settings of the session stay.
+SMALL_TASKS = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m", "spark.sql.files.maxPartitionBytes": "16m"}
+
+
+def written(df: DataFrame, name: str, small_tasks: bool = False) -> DataFrame:
     """df written to the shared folder and read back. What was shuffled for it is deleted at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    small = {k: v for k, v in SMALL_TASKS.items() if small_tasks and size(v) < size(spark.conf.get(k))}
+    held = {CLEANUP: "true"} | small
+    before = {k: spark.conf.get(k, None) for k in held}
     try:
-        df.select("*").write.parquet(path)  # a plan of its own, made while the setting holds
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        df.select("*").write.parquet(path)  # a plan of its own, made while the settings hold
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -1,7 +1,10 @@
 """Queries' operators on tables that the test data doesn't hold: no results in a batch, nulls, equal paths, hot names."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from sparkatlas.operators import graph
+from sparkatlas.plans import tables
 from sparkatlas.sources import tree
 from sparkatlas.streaming import watch
 
@@ -60,3 +63,45 @@ def test_upload_batches_leave_contents_where_they_are(spark):
     df.write.mode("overwrite").parquet(at := f"{spark.conf.get('spark.checkpoint.dir')}/uploads")
     plan = tree.upload_batches(spark.read.parquet(at)).select("filepath", "batch")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan and not [x for x in plan.split("\n") if "content" in x and "octet_length" not in x and "Relation" not in x]
+
+
+def test_small_tasks_settings(spark):
+    """They hold while a table is written, and no longer; a session's smaller ones stay."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    df = spark.range(10)
+    seen = []
+
+    class Watched:
+        sparkSession, schema = spark, df.schema
+
+        def select(self, *_):
+            seen.append(spark.conf.get(key))
+            return df
+
+    assert sorted(r.id for r in tables.written(Watched(), "small", small_tasks=True).collect()) == list(range(10))
+    spark.conf.set(key, "1m")
+    try:
+        tables.written(Watched(), "small", small_tasks=True)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+    assert seen == ["8m", "1m"] and spark.conf.get(key) == before
+
+
+@pytest.mark.parametrize("scope", [(), ("codebase_id",)])
+def test_resolve_divides_its_sorts(spark, monkeypatch, scope):
+    """Names and edges are two written plans of small tasks, so that a task doesn't hold the sorts of all joins."""
+    symbols = spark.createDataFrame([("c", "m.A", "1"), ("c", "m.B", "2"), ("c", "x.B", "0"), ("d", "m.A", "9")], "codebase_id string, qualified string, id string")
+    rows = [("c", "m.A", "*m.B", "calls", 3), ("c", "m.A", "m.B", "calls", 2), ("c", "m.A", "B", "calls", 1), ("c", "m.A", "m.A", "calls", 4), ("c", "m.A", "none", "calls", 5), ("c", "m.B", "*B", "calls", 6)]
+    raw = spark.createDataFrame(rows, "codebase_id string, source_qualified string, target_name string, kind string, line int").withColumns({"filepath": F.lit("f"), "ord": F.col("line")})
+    plans = []
+
+    def written(df, name, small_tasks=False):
+        plans.append((df._jdf.queryExecution().optimizedPlan().toString().count("Join "), small_tasks))
+        return tables.written(df, name, small_tasks)
+
+    monkeypatch.setattr(graph, "written", written)
+    got = graph.resolve(raw, symbols.where("codebase_id = 'c'") if not scope else symbols, scope)
+    assert sorted((r.source_id, r.target_id, r.line) for r in got.collect()) == [("1", "0", 1), ("1", "2", 2)]
+    assert plans == [(3, True), (2, True)]
